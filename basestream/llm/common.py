@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -60,8 +59,3 @@ def texts(b: pa.RecordBatch, name: str = "text") -> list:
 
 def doc_ids(b: pa.RecordBatch, name: str = "doc_id") -> list:
     return b.column(b.schema.get_field_index(name)).to_pylist()
-
-
-def held_out_column(mod: int, rest: int):
-    """crc32 of the id's decimal text, modulo ``mod``, equals ``rest``."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))

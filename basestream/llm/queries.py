@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basestream.llm import decontaminate, line_dedup
+from basestream.llm import decontaminate, line_dedup, toxicity
 from basestream.llm.common import table
 
 
@@ -20,8 +20,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination}
+    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
