@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basestream.llm import decontaminate, line_dedup, toxicity
+from basestream.llm import decontaminate, line_dedup, quality, toxicity
 from basestream.llm.common import table
 
 
@@ -25,8 +25,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity}
+    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
