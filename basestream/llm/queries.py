@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basestream.llm import decontaminate, line_dedup, quality, toxicity
+from basestream.llm import decontaminate, line_dedup, packing, quality, token_pack, toxicity
 from basestream.llm.common import table
 
 
@@ -30,8 +30,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack_documents(docs)
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.token_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality}
+    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op3_bestfit_packing": op3_bestfit_packing, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
