@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basestream.llm import decontaminate, jaccard_join, line_dedup, packing, quality, token_pack, toxicity
+from basestream.llm import decontaminate, fingerprints, jaccard_join, licenses, line_dedup, packing, quality, secrets, token_pack, toxicity
 from basestream.llm.common import table
 
 
@@ -43,8 +43,21 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.report(fingerprints.fingerprint_documents(docs))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op3_bestfit_packing": op3_bestfit_packing, "op9_jaccard_join": op9_jaccard_join, "op10_token_ids": op10_token_ids}
+    return {"op1_line_dedup": op1_line_dedup, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op8_quality": op8_quality, "op3_bestfit_packing": op3_bestfit_packing, "op2_fingerprints": op2_fingerprints, "op6_secrets": op6_secrets, "op7_licenses": op7_licenses, "op9_jaccard_join": op9_jaccard_join, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
