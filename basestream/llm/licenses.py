@@ -81,10 +81,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Explode keeps the hashes a column of their own, computed once a text.
     hashed = text.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
-    hits = hashed.where(F.size("h") >= 3).select(
-        "doc_id", "text_key",
-        F.filter(F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.struct(i.alias("i"), shingle_at(F.col("h"), i).alias("s"))), lambda x: x["s"].isin(every)).alias("x"),
-    ).where(F.size("x") > 0).select("doc_id", "text_key", F.explode("x").alias("x")).select("doc_id", "text_key", "x.*")
+    places = F.sequence(F.lit(0), F.size("h") - 3)
+    any_known = F.arrays_overlap(F.transform(places, lambda i: shingle_at(F.col("h"), i)), F.array(*[F.lit(s) for s in every]))
+    at = F.when(any_known, F.filter(places, lambda i: shingle_at(F.col("h"), i).isin(every))).otherwise(F.array().cast("array<int>"))
+    hits = hashed.where(F.size("h") >= 3).select("doc_id", "text_key", "h", F.explode(at).alias("i"))
+    hits = hits.select("doc_id", "text_key", "i", shingle_at(F.col("h"), F.col("i")).alias("s"))
     kinds = F.array(*[F.lit(w) for w in sorted(sizes)])
     spread = hits.select("doc_id", "text_key", "i", "s", F.explode(kinds).alias("w"))
     spread = spread.select("*", F.floor(F.col("i") / (F.col("w") / 2)).cast("int").alias("k"))
