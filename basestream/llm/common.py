@@ -14,15 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where
+    it is unset (local tests) is a temporary folder used."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="basestream-ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder named by
-    ``spark.checkpoint.dir``. Only where that is unset (local tests) is a
-    temporary folder used."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="basestream-ckpt-"))
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
