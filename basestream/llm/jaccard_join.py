@@ -249,49 +249,42 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(tops.select("node", F.col("node").alias("root")))
 
 
-def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls): cls numbers the shingle set (0: empty)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for b in batches:
-            size, cls = [], []
-            for t in b.column(1).to_pylist():
-                s = shingle(t)
-                size.append(len(s))
-                cls.append(class_of(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
-
-
-def class_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
-
-
-def signatures(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(sig, cls), once per class and task at least: copies in a task sign once."""
+def signed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, n_shingles, cls, sigs): the number of the shingle set (0: empty) and its
+    part signatures. Copies seen by one task sign once, the others carry no signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(n), Signer(threshold)
         seen: set[int] = set()
         for b in batches:
-            sigs, owner = [], []
-            for t in b.column(1).to_pylist():
+            size, cls, sigs = [], [], []
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingle(t)
                 c = class_of(s)
-                if not len(s) or c in seen:
+                size.append(len(s))
+                cls.append(c)
+                if c in seen or not len(s) or doc is None:
+                    sigs.append(NONE)
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
-                g = sign(s)
-                sigs.append(g)
-                owner.append(np.full(len(g), c, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owner))], names=["sig", "cls"])
+                sigs.append(sign(s))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+            flat = pa.array(np.concatenate(sigs).view(np.int64)) if sigs else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                names=["doc_id", "n_shingles", "cls", "sigs"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sigs array<long>")
 
-    return docs.mapInArrow(run, "sig long, cls long")
+
+NONE = np.zeros(0, np.uint64)
+
+
+def class_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -440,10 +433,11 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_sh
     t = Fraction(threshold)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = materialise(classes(plain, n))
+    told = materialise(signed(plain, n, t))
+    known = told.select("doc_id", "n_shingles", "cls")
     owners = known.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
 
-    sigs = signatures(plain.where("doc_id is not null"), n, t)
+    sigs = told.select(F.explode("sigs").alias("sig"), "cls")
     shared = sigs.groupBy("sig").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where(F.col("first") != F.col("last")).select("sig", "first")
     candidates = sigs.join(shared, "sig").where(F.col("cls") != F.col("first")).select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
     blocks = connected(candidates).select(F.col("node").alias("cls"), F.col("root").alias("block"))
