@@ -100,8 +100,7 @@ def pack(items: Iterable[tuple], capacity: int, max_per_source: int) -> list[tup
 
 def lengths(docs: DataFrame) -> DataFrame:
     """Words of a text, as its length in tokens."""
-    text = F.trim(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"\s+"))).cast("long")
+    return F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, max_per_source: int = 4, shard_tokens: int = 4_000_000, length=None, cluster=None) -> DataFrame:
