@@ -34,7 +34,7 @@ def quality_char(q: Column) -> Column:
 def composition(seq: Column) -> dict[str, Column]:
     """Counts of A, C, G, T in either case, of other bases, and of all."""
     n = F.length(seq)
-    counts = {b: n - F.length(F.translate(seq, b + b.lower(), "")) for b in "ACGT"}
+    counts = {b: n - F.length(F.replace(F.replace(seq, F.lit(b), F.lit("")), F.lit(b.lower()), F.lit(""))) for b in "ACGT"}
     return {**counts, "N": n - sum(counts.values(), F.lit(0)), "total": n}
 
 

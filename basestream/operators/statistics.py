@@ -39,6 +39,14 @@ def entropy(values: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     return sums.select(*keys, "total", F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias("bits"))
 
 
+def text_entropy(text: Column) -> Column:
+    """Entropy in bits per character of one string, without a row per character."""
+    n = F.length(text)
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k.cast("double")))
+    return F.round(F.log2(n.cast("double")) - total / n, 6)
+
+
 def run_benefit(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
     """Gain of run lengths per symbol: +1 where a value repeats the one before, -2 where not."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -59,7 +59,9 @@ aln as (
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts reduced to the letters ACGTN."""
-    upper = F.translate(F.coalesce("text", F.lit("")), "acgt", "ACGT")
+    upper = F.coalesce("text", F.lit(""))
+    for b in "ACGT":  # a byte search each, far cheaper than a character map
+        upper = F.replace(upper, F.lit(b.lower()), F.lit(b))
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(upper, "[^ACGT]", "N").alias("seq"))
 
 

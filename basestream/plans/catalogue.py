@@ -390,8 +390,13 @@ def histogram_retraction(spark, d):
 
 @query("with " + SEQS + ", c as (select doc_id, unnest(string_split(seq, '')) as s from seqs where length(seq) > 0), n as (select doc_id, s, count(*) as n from c group by 1, 2) select doc_id, cast(sum(n) as bigint) as total, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as bits from n group by 1")
 def entropy(spark, d):
-    s = sequences(spark, d).where("length(seq) > 0").select("doc_id", F.explode(F.split("seq", "")).alias("s"))
-    return statistics.entropy(s, ["doc_id"], "s")
+    s = sequences(spark, d).where("length(seq) > 0")
+    return s.select("doc_id", F.length("seq").cast("long").alias("total"), statistics.text_entropy(F.col("seq")).alias("bits"))
+
+
+@query("with h as (select l_shipdate as k, l_linenumber as s, count(*) as n from lineitem group by 1, 2) select k as ship, cast(sum(n) as bigint) as total, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as bits from h group by 1")
+def column_entropy(spark, d):
+    return statistics.entropy(table(spark, d, "lineitem").select(F.col("l_shipdate").alias("ship"), "l_linenumber"), ["ship"], "l_linenumber")
 
 
 @query("with " + FLOWS + ", q as (select user_id, v // 1000 as b, lag(v // 1000) over (partition by user_id order by ts, event_id) as prev from flows) select b as value, cast(sum(case when b is not distinct from prev then 1 else -2 end) as bigint) as benefit, count(*) as n from q group by 1")
