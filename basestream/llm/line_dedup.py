@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,12 @@ def shard_of(key: bytes, n: int) -> int:
     return int.from_bytes(key[:4], "little") % n
 
 
+def _shard(n: int):
+    """``shard_of`` as a column."""
+    reverse = F.concat(*[F.hex(F.substring("key", i, 1)) for i in (4, 3, 2, 1)])
+    return (F.conv(reverse, 16, 10).cast("long") % n).cast("int")
+
+
 class Probe:
     """The filters of all shards on the executor side; without them all keys pass."""
 
@@ -203,13 +210,41 @@ class LineStore:
         return {"min_chars": self.min_chars, "min_docs": self.min_docs, "shard_keys": self.shard_keys, "max_broadcast_bytes": self.max_broadcast_bytes}
 
     def insert(self, docs: DataFrame) -> LineStore:
-        return LineStore(materialise(self.pairs.unionByName(line_pairs(docs, self.min_chars)).distinct()), **self._options())
+        return LineStore(materialise(self.pairs.unionByName(line_pairs(docs, self.min_chars)).distinct()), **self._options())._carry(self)
 
     def delete(self, docs: DataFrame) -> LineStore:
         """Without the documents whose ids ``docs`` holds: the state as if they had never come."""
         gone = docs.select(F.col("doc_id").cast("long").alias("gone")).distinct()
         left = self.pairs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-        return LineStore(materialise(left), **self._options())
+        return LineStore(materialise(left), **self._options())._carry(self)
+
+    def _carry(self, old: LineStore) -> LineStore:
+        """Take over the filters of ``old``: keys whose count crossed the threshold are
+        added or removed in their shard. A filter that overflows has all of them built anew."""
+        if old._filters is None:
+            return self
+        n, parts = old._filters
+        was = old.repeated.select("key", F.lit(True).alias("was"))
+        now = self.repeated.select("key", F.lit(True).alias("now"))
+        changed = was.join(now, "key", "full").where("was is null or now is null").select(_shard(n).alias("shard"), "key", F.col("now").isNotNull().alias("add"))
+        room = self.shard_keys
+
+        def update(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            if not len(keys):
+                return filters
+            f = CuckooFilter.load(filters["filter"][0]) if len(filters) else CuckooFilter(room)
+            try:
+                for k, add in zip(keys["key"], keys["add"]):
+                    f.add(k) if add else f.remove(k)
+                data = f.dump()
+            except OverflowError:
+                data = None
+            return pd.DataFrame({"shard": [keys["shard"][0]], "filter": [data]})
+
+        new = materialise(parts.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(update, "shard int, filter binary"))
+        if new.where("filter is null").isEmpty():
+            self._filters = n, new
+        return self
 
     @property
     def repeated(self) -> DataFrame:
@@ -231,9 +266,7 @@ class LineStore:
                     names=["shard", "filter"],
                 )
 
-            reverse = F.concat(*[F.hex(F.substring("key", i, 1)) for i in (4, 3, 2, 1)])
-            shard = F.conv(reverse, 16, 10).cast("long") % n
-            built = self.repeated.select("key", shard.alias("s")).repartition(n, "s").select("key").mapInArrow(build, "shard int, filter binary")
+            built = self.repeated.select("key", _shard(n).alias("s")).repartition(n, "s").select("key").mapInArrow(build, "shard int, filter binary")
             self._filters = n, materialise(built)
         return self._filters
 

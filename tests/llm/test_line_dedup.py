@@ -49,6 +49,26 @@ def test_insert_then_delete_is_the_state_before(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in got} == {d: v[1] for d, v in brute(docs[:40]).items()}
 
 
+def test_filters_follow_insertions_and_deletions(spark):
+    docs = documents(4, 90)
+    old, new = frame(spark, docs[:30]), frame(spark, docs[30:])
+    store = L.LineStore.of(old, shard_keys=1)
+    n, _ = store.filters()
+    grown = store.insert(new)
+    assert grown._filters is not None and grown.filters()[0] == n
+
+    def hits(s):
+        p = L.Probe([(r["shard"], bytes(r["filter"])) for r in s.filters()[1].collect()], s.filters()[0])
+        return {k for k in (bytes(r["key"]) for r in s.counts.collect()) if p.hits([k])}
+
+    want = lambda s: {bytes(r["key"]) for r in s.repeated.collect()}
+    assert want(grown) and hits(grown) == want(grown)
+    back = grown.delete(new)
+    assert want(back) <= hits(back) and len(hits(back)) == len(want(store))
+    got = L.dedup_lines(frame(spark, docs), store=grown).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {d: v[1] for d, v in brute(docs).items()}
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(5000)]
     f = L.CuckooFilter.load(L.CuckooFilter.build(keys).dump())
