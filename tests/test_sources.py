@@ -123,3 +123,64 @@ def test_slice_stream(spark, tmp_path):
     q.awaitTermination()
     got = [(r["slice_no"], r["ref_id"], r["records"]) for r in spark.table("slices").orderBy("slice_no").collect()]
     assert got == [(0, 0, 5), (1, 0, 5), (2, 0, 2), (3, 1, 5), (4, 1, 5), (5, 1, 2), (6, 2, 5)]
+
+
+def test_read_archive(spark, tmp_path):
+    from basestream.sources import archives
+
+    block = lambda kind, body: kind + struct.pack(">I", len(body) + 5) + body
+    short = lambda s: bytes([len(s)]) + s
+    chunk = lambda t, d, m=b"": t + struct.pack(">I", len(m)) + m + struct.pack(">I", len(d)) + d
+    cont = short(b"1.3") + b"Z" + short(b"caller") + short(b"2")
+    data = b"SSRF" + struct.pack(">I", len(cont) + 8) + cont
+    data += block(b"H", b"E" + short(b"run:") + traces.ZTR_MAGIC + b"\x01\x02" + chunk(b"TEXT", b"\0a\0b\0\0"))
+    for k in range(5):
+        data += block(b"R", bytes([k == 3]) + short(b"%d" % k) + chunk(b"BASE", b"\0ACGT") + chunk(b"SMP4", b"\0" * 10, b"TYPE\0SLXI\0" if k % 2 else b""))
+    data += b"\0" * 8
+    (tmp_path / "a.srf").write_bytes(data + data)
+    reads = archives.read_archive(spark, str(tmp_path / "a.srf")).cache()
+    assert [r["name"] for r in reads.orderBy("ord").collect()] == [f"run:{k}" for k in range(5)] * 2
+    assert archives.good_reads(reads).count() == 8
+    counts = {r["type"]: (r["n"], r["bytes"]) for r in archives.chunk_counts(reads).collect()}
+    assert counts == {"TEXT": (10, 6 * 10), "BASE": (10, 50), "SMP4": (10, 100)}
+    kept = reads.select("name", archives.keep_chunks(F.col("chunks"), ["BASE", "SMP4"], ["PROC"]).alias("c"))
+    assert sorted({(r["name"], len(r["c"])) for r in kept.collect()}) == [(f"run:{k}", 1 + (k % 2 == 0)) for k in range(5)]
+    assert [(r["value"], r["n"]) for r in archives.metadata_counts(reads).collect()] == [("SLXI", 4)]
+
+
+def test_tar_index_and_extract(spark, tmp_path):
+    import io
+    import tarfile
+
+    from basestream.sources import archives
+
+    with tarfile.open(tmp_path / "t.tar", "w") as t:
+        for k in range(4):
+            info = tarfile.TarInfo(f"f{k}")
+            info.size = k + 1
+            t.addfile(info, io.BytesIO(bytes([65 + k]) * (k + 1)))
+    index = archives.tar_index(spark, str(tmp_path / "t.tar"))
+    assert {r["name"]: bytes(r["data"]) for r in archives.extract(spark, index, str(tmp_path / "t.tar")).collect()} == {f"f{k}": bytes([65 + k]) * (k + 1) for k in range(4)}
+
+
+def test_variable_length_integers():
+    from basestream.sources import archives
+
+    for raw, v in ((b"\x7f", 127), (b"\x80\xff", 255), (b"\xc1\x00\x00", 65536), (b"\xff\xff\xff\xff\x0f", -1)):
+        assert archives.itf8(raw, 0) == (v, len(raw))
+    assert archives.ltf8(b"\xe1\x00\x00\x00", 0) == (1 << 24, 4) and archives.ltf8(b"\xff" + b"\x01" * 8, 0) == (0x0101010101010101, 9)
+
+
+def test_block_table(spark, tmp_path):
+    import zlib
+
+    from basestream.operators import statistics
+    from basestream.sources import archives
+
+    blocks = b"".join(bytes([m, 4, c, n, n]) + b"x" * n + b"\0" * 4 for m, c, n in ((0, 1, 5), (1, 2, 7), (4, 2, 9)))
+    head = struct.pack("<i", len(blocks)) + bytes([0, 10, 90, 3, 0, 50, 3, 0])
+    data = b"CRAM\x03\x00" + b"\0" * 20 + head + struct.pack("<I", zlib.crc32(head)) + blocks
+    (tmp_path / "x.bin").write_bytes(data)
+    t = archives.read_block_table(spark, str(tmp_path / "x.bin")).cache()
+    assert {r["content_id"]: r["bytes"] for r in statistics.block_sizes(t).collect()} == {1: 5, 2: 16}
+    assert {(r["content_id"], r["method"]): r["ratio"] for r in statistics.block_methods(t).collect()} == {(1, "raw"): 1.0, (2, "gzip"): 0.5, (2, "rans"): 0.5}
