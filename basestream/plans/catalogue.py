@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basestream.functions import cigar, sequence, tags
+from basestream.functions import cigar, sequence, tags, trace
 from basestream.operators import alignments as al
 from basestream.operators import lookups, signal, statistics
 from basestream.operators.ordering import number_rows
@@ -585,3 +585,47 @@ def sam_parse(spark, d):
 
     got = parse_lines(_lines(spark, d).select(F.col("line").alias("value")))
     return long(got.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", cigar.reference_span(cigar.parse(F.col("cigar"))).alias("ref_span"), F.element_at("tags", 1).alias("tag")))
+
+
+# --- trace arrays ---------------------------------------------------------------------------
+
+TRACE = "tr as (select vec_id, list_transform(embedding, lambda x: cast(round(cast(x as double) * 1000) as bigint)) as v from embeddings)"
+
+
+def _traces(spark, d):
+    v = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    return table(spark, d, "embeddings").select("vec_id", v.alias("v"))
+
+
+@query("with " + TRACE + "select vec_id, v[6:21] as clipped from tr")
+def trace_clip(spark, d):
+    return _traces(spark, d).select("vec_id", trace.clip_samples(F.col("v"), F.lit(5), F.lit(20)).alias("clipped"))
+
+
+@query("with " + TRACE + "select vec_id, list_transform(generate_series(0, len(v) // 2 - 1), lambda i: cast(floor((v[2 * i + 1] + v[2 * i + 2]) / 2.0) as bigint)) as means from tr")
+def trace_pair_means(spark, d):
+    return _traces(spark, d).select("vec_id", trace.pair_means(F.col("v")).alias("means"))
+
+
+@query("with " + TRACE + ", s as (select vec_id, list_sort(list_filter(v, lambda x: x <> 0)) as s from tr) select vec_id, coalesce(s[cast(floor(len(s) * 0.05::double) as int) + 1], 0) as level from s")
+def trace_background_level(spark, d):
+    return _traces(spark, d).select("vec_id", trace.background_level(F.col("v")).alias("level"))
+
+
+@query("with " + TRACE + "select vec_id, list_max(v) as top, list_transform(v, lambda x: case when list_max(v) > 255 then cast(floor(x * 255.0::double / list_max(v)) as bigint) else x end) as scaled from tr")
+def trace_downscale(spark, d):
+    t = _traces(spark, d).withColumn("top", F.array_max("v"))
+    return t.select("vec_id", "top", trace.downscale(F.col("v"), F.col("top")).alias("scaled"))
+
+
+@query("with a as (select l_orderkey, l_linenumber, l_partkey, substr('ACGTRYN', cast(1 + l_partkey % 7 as int), 1) as b, l_partkey % 50 as a, l_suppkey % 50 as c, l_linenumber * 5 as g, l_orderkey % 40 as t from lineitem) select b as base, count(*) as n, cast(sum(case b when 'A' then a when 'C' then c when 'G' then g when 'T' then t when 'R' then (a + g) // 2 when 'Y' then (c + t) // 2 else 0 end) as bigint) as total from a group by 1")
+def called_confidence(spark, d):
+    c = F.col
+    b = F.substring(F.lit("ACGTRYN"), (c("l_partkey") % 7 + 1).cast("int"), F.lit(1))
+    conf = trace.called_confidence(b, c("l_partkey") % 50, c("l_suppkey") % 50, c("l_linenumber") * 5, c("l_orderkey") % 40)
+    return table(spark, d, "lineitem").groupBy(b.alias("base")).agg(F.count(F.lit(1)).alias("n"), F.sum(conf).alias("total"))
+
+
+@query("select event_id, split_part(props, ':', 1) as head, length(props) as n from events")
+def comment_fields(spark, d):
+    return table(spark, d, "events").select("event_id", F.substring_index("props", ":", 1).alias("head"), F.length("props").cast("long").alias("n"))

@@ -66,3 +66,36 @@ def test_md_nm_of_fixture(spark):
     for size in (1 << 16, 7):
         got = {r["file_ord"]: (r["md"], r["nm"]) for r in reference.with_md_nm(aln, ref, size).collect()}
         assert got == {k: (md, nm) for k, (_, _, md, nm) in enumerate(cases)}
+
+
+def test_trace_functions(spark):
+    from basestream.functions import trace
+
+    one = spark.range(1)
+    arr = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert one.select(trace.separate_dyes([arr(1, 2), arr(3, 4)], [[1.0, -1.0], [0.5, 0.5]])[1]).first()[0] == [2, 3]
+    assert one.select(trace.max_called(arr(5, 9, 2, 30), arr(0, 2))).first()[0] == 5
+    assert one.select(trace.comments(F.lit("NAME=a=b\nxx\nMACH=m"))).first()[0] == {"NAME": "a=b", "MACH": "m"}
+    assert one.select(trace.unique_id(F.lit("x"), arr("x", "x.1", "y")), trace.unique_id(F.lit("z"), arr("x"))).first()[:] == ("x.2", "z")
+    assert one.select(trace.pair_means(arr(4)), trace.background_level(arr(0, 0))).first()[:] == ([], 0)
+
+
+def test_locate(spark, tmp_path):
+    import io
+    import tarfile
+
+    from basestream.sources import search
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/one.gz").write_bytes(b"abc")
+    with tarfile.open(tmp_path / "t.tar", "w") as t:
+        for name in ("one", "two"):
+            info = tarfile.TarInfo(name)
+            info.size = 2
+            t.addfile(info, io.BytesIO(b"xy"))
+    names = spark.createDataFrame([("one",), ("two",), ("three",)], "name string")
+    find = lambda p: {r["name"]: r["found"] for r in search.locate(spark, names, p).collect()}
+    assert find(f"{tmp_path}/d:TAR={tmp_path}/t.tar") == {"one": "one.gz", "two": "two", "three": None}
+    assert find(f"|{tmp_path}/d:TAR={tmp_path}/t.tar") == {"one": "one", "two": "two", "three": None}
+    (tmp_path / "list.txt").write_text("a\n\n b \n")
+    assert search.file_list(spark, str(tmp_path / "list.txt")) == ["a", "b"]
