@@ -1,4 +1,4 @@
-"""Trace files: SCF, ZTR, SFF, Experiment, plain and FASTA text to trace records.
+"""Trace files: SCF, ABI, ZTR, SFF, Experiment, plain and FASTA text to trace records.
 
 Files come through Spark's binary reader, one row a file, and are told apart by their
 first bytes; Arrow batches decode them. SCF, ZTR and Experiment records are also
@@ -31,6 +31,8 @@ def sniff(data: bytes) -> str | None:
         return "ZTR"
     if data[:4] == b".sff":
         return "SFF"
+    if data[:4] == b"ABIF" or data[128:132] == b"ABIF":
+        return "ABI"
     if data[:4] == b"SSRF":
         return "SRF"
     if data[:2] == b"\x1f\x8b":
@@ -345,8 +347,10 @@ def decode(name: str, data: bytes) -> list[dict]:
         return decode(name, gzip.decompress(data))
     if kind == "SFF":
         return list(read_sff(data))
+    from basestream.sources.abif import read_abif
+
     made = {
-        "SCF": lambda: read_scf(data), "ZTR": lambda: read_ztr(data), "EXP": lambda: experiment_trace(read_experiment(data.decode("latin-1"))),
+        "ABI": lambda: read_abif(data), "SCF": lambda: read_scf(data), "ZTR": lambda: read_ztr(data), "EXP": lambda: experiment_trace(read_experiment(data.decode("latin-1"))),
         "PLN": lambda: read_plain(data.decode("latin-1")),
     }.get(kind)
     if made is None:

@@ -184,3 +184,21 @@ def test_block_table(spark, tmp_path):
     t = archives.read_block_table(spark, str(tmp_path / "x.bin")).cache()
     assert {r["content_id"]: r["bytes"] for r in statistics.block_sizes(t).collect()} == {1: 5, 2: 16}
     assert {(r["content_id"], r["method"]): r["ratio"] for r in statistics.block_methods(t).collect()} == {(1, "raw"): 1.0, (2, "gzip"): 0.5, (2, "rans"): 0.5}
+
+
+def test_tagged_chromatogram():
+    entries = [
+        (b"FWO_", 1, 2, 1, b"GATC"), (b"PBAS", 1, 2, 1, b"ACGTN"), (b"PLOC", 1, 4, 2, struct.pack(">5h", 2, 4, 6, 8, 9)), (b"PCON", 1, 2, 1, bytes([9, 8, 7, 6, 5])),
+        (b"SMPL", 1, 18, 1, b"\x05first"), (b"LANE", 1, 4, 2, struct.pack(">h", 12)),
+        *[(b"DATA", k, 4, 2, struct.pack(">10h", *range(k, k + 10))) for k in (9, 10, 11, 12)],
+    ]
+    body, rows = b"", b""
+    for name, number, kind, width, raw in entries:
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(">I", 128 + len(body))
+        body += raw if len(raw) > 4 else b""
+        rows += struct.pack(">4sIHHII", name, number, kind, width, len(raw) // width, len(raw)) + place + b"\0" * 4
+    head = struct.pack(">4sH4sIHHIII", b"ABIF", 101, b"tdir", 1, 1023, 28, len(entries), 28 * len(entries), 128 + len(body)).ljust(128, b"\0")
+    (r,) = traces.decode("x.ab1", head + body + rows)
+    assert (r["format"], r["base"], r["base_pos"], r["trace_name"], r["max_trace"]) == ("ABI", "ACGT-", [2, 4, 6, 8, 9], "first", 21)
+    assert (r["trace_g"][0], r["trace_a"][0], r["trace_t"][0], r["trace_c"][0]) == (9, 10, 11, 12)
+    assert r["prob_c"] == [0, 8, 0, 0, 0] and r["info"]["LANE"] == "12"
