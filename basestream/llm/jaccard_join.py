@@ -249,38 +249,78 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(tops.select("node", F.col("node").alias("root")))
 
 
-def signed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, cls, sigs): the number of the shingle set (0: empty) and its
-    part signatures. Copies seen by one task sign once, the others carry no signatures."""
+def classes(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, cls): cls numbers the shingle set (0: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign = Shingler(n), Signer(threshold)
-        seen: set[int] = set()
+        shingle = Shingler(n)
         for b in batches:
-            size, cls, sigs = [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle(t)
-                c = class_of(s)
-                size.append(len(s))
-                cls.append(c)
-                if c in seen or not len(s) or doc is None:
-                    sigs.append(NONE)
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(c)
-                sigs.append(sign(s))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            flat = pa.array(np.concatenate(sigs).view(np.int64)) if sigs else pa.array([], pa.int64())
+            sets = map(shingle, b.column(1).to_pylist())
+            told = [(len(s), class_of(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                names=["doc_id", "n_shingles", "cls", "sigs"],
+                [b.column(0), pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int64())], names=["doc_id", "n_shingles", "cls"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+
+
+def stars(sigs: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures in order with one class each, and edges of the other classes to it."""
+    order = np.argsort(sigs, kind="stable")
+    sigs, cls = sigs[order], cls[order]
+    start = np.concatenate([[True], sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, bool)
+    first = cls[start][np.cumsum(start) - 1] if len(sigs) else cls
+    other = first != cls
+    edges = np.unique(np.stack([cls[other], first[other]], 1), axis=0)
+    return sigs[start], cls[start], edges[:, 0], edges[:, 1]
+
 
+def candidate_edges(docs: DataFrame, n: int, threshold: Fraction, buckets: int, parts: int) -> DataFrame:
+    """(a, b): classes with a signature in common, as stars. A task combines its own
+    signatures first: of the classes that share one, a single class goes on and the others
+    become edges, so a hot signature costs one entry per batch. Signatures travel as packed
+    arrays per range of values (``buckets`` ranges, whose number follows the input)."""
+    edges_ = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+    def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, sign = Shingler(n), Signer(threshold)
+        for b in batches:
+            for at in range(0, b.num_rows, 50_000):
+                found: dict[int, np.ndarray] = {}
+                for t in b.column(0).slice(at, 50_000).to_pylist():
+                    s = shingle(t)
+                    c = class_of(s)
+                    if len(s) and c not in found:
+                        found[c] = sign(s)
+                if not found:
+                    continue
+                names = np.array(list(found), np.int64)
+                owner = np.repeat(np.arange(len(names)), [len(x) for x in found.values()])
+                sigs, own, a, z = stars(np.concatenate(list(found.values())), owner)
+                cuts = [0, *np.searchsorted(sigs, edges_).tolist(), len(sigs)]
+                rows = []
+                for k in range(buckets):
+                    part = own[cuts[k] : cuts[k + 1]]
+                    if len(part) or (k == 0 and len(a)):
+                        here, index = np.unique(part, return_inverse=True)
+                        pairs = np.stack([names[a], names[z]]).tobytes() if k == 0 else b""
+                        rows.append((k, sigs[cuts[k] : cuts[k + 1]].tobytes(), index.astype(np.uint16).tobytes(), names[here].tobytes(), pairs))
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["bucket", "sigs", "own", "names", "pairs"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, 1):
+            sigs = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+            cls = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16)] for r in rows])
+            _, _, a, b = stars(sigs, cls)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for r in rows:
+                if r[3]:
+                    p = np.frombuffer(r[3], np.int64).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
-NONE = np.zeros(0, np.uint64)
+    packed = docs.select("text").mapInArrow(sign_batches, "bucket int, sigs binary, own binary, names binary, pairs binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, EDGES).distinct()
 
 
 def class_of(s: np.ndarray) -> int:
@@ -433,13 +473,13 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_sh
     t = Fraction(threshold)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = materialise(signed(plain, n, t))
-    known = told.select("doc_id", "n_shingles", "cls")
+    known = materialise(classes(plain, n))
     owners = known.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
 
-    sigs = told.select(F.explode("sigs").alias("sig"), "cls")
-    shared = sigs.groupBy("sig").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where(F.col("first") != F.col("last")).select("sig", "first")
-    candidates = sigs.join(shared, "sig").where(F.col("cls") != F.col("first")).select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    # About 200,000 signatures a bucket.
+    shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(8, int(shingles * float(1 - t) * 3 / 200_000))
+    candidates = candidate_edges(plain.where("doc_id is not null"), n, t, buckets, parts)
     blocks = connected(candidates).select(F.col("node").alias("cls"), F.col("root").alias("block"))
     placed = materialise(owners.join(blocks, "cls").where("rep is not null"))
     large = placed.groupBy("block").agg(F.sum("n_shingles").alias("amount")).where(F.col("amount") > block_shingles).select("block")
