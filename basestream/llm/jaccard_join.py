@@ -207,18 +207,44 @@ class Block:
         self._exact(members)
 
     def _exact(self, members: np.ndarray) -> None:
-        """All pairs that are not yet in one group, each against its size window."""
+        """All links among members that don't yet share a group. Ordered by their number of
+        holders here, a set's rarest shingles up to its size less ``t`` of it, and one
+        more, must hold one that a linked set's do too; only such pairs are compared."""
         order = members[np.argsort(self.size[members], kind="stable")]
-        for k, i in enumerate(order[:-1]):
-            i = int(i)
-            most = self.size[i] * self.den // self.num
-            end = k + 1 + int(np.searchsorted(self.size[order[k + 1 :]], most, "right"))
-            others = order[k + 1 : end]
-            if len(others):
-                root = self.find(i)
-                others = np.array([j for j in others.tolist() if self.find(j) != root], np.int64)
-                if len(others):
-                    self.compare(i, others)
+        size, n = self.size[order], len(order)
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if n else 0) + np.repeat(self.start[order] - (ends - size), size)
+        _, token, holders = np.unique(self.flat[at], return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(n), size)
+        ranked = np.lexsort((token, holders[token], doc))
+        token, place = token[ranked], np.arange(len(token)) - np.repeat(ends - size, size)
+        least = -(-size * self.num // self.den)
+        rare = (place < (size - least + 1)[doc]) & (holders[token] > 1)
+        token, doc = token[rare], doc[rare]
+        by_token = np.lexsort((doc, token))
+        token, holder = token[by_token], doc[by_token]
+        until = np.searchsorted(token, token, "right")
+        # Entries of each document, in the order of documents.
+        mine = np.argsort(holder, kind="stable")
+        first = np.searchsorted(holder[mine], np.arange(n + 1))
+        group = np.array([self.find(int(i)) for i in order], np.int64)
+        most = size * self.den // self.num
+        for i in range(n):
+            entries = mine[first[i] : first[i + 1]]
+            spans = [holder[e + 1 : until[e]] for e in entries.tolist() if until[e] > e + 1]
+            if not spans:
+                continue
+            others = np.concatenate(spans)
+            others = others[(group[others] != group[i]) & (size[others] <= most[i])]
+            if not len(others):
+                continue
+            others = np.unique(others)
+            c = self.common(int(order[i]), order[others])
+            for j in others[linked(c, size[i], size[others], self.num, self.den)].tolist():
+                if group[j] != group[i]:
+                    self.union(int(order[i]), int(order[j]))
+                    old, new = max(group[i], group[j]), min(group[i], group[j])
+                    group[group == old] = new
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -436,15 +462,9 @@ def join_large(members: DataFrame, n: int, threshold: Fraction, tile_shingles: i
         shingle = Shingler(n)
         for _, rows in grouped(batches, 1):
             cls = sorted({r[1] for r in rows})
-            at = {c: i for i, c in enumerate(cls)}
             text = {r[1]: r[2] for r in rows}
             block = Block([shingle(text[c]) for c in cls], threshold)
-            ys = np.array(sorted({at[c] for side, c, _ in rows if side == 1}), np.int64)
-            for i in sorted({at[c] for side, c, _ in rows if side == 0}):
-                root = block.find(i)
-                others = np.array([j for j in ys.tolist() if block.find(j) != root], np.int64)
-                if len(others):
-                    block.compare(i, others)
+            block._exact(np.arange(len(cls)))
             yield _edges([(cls[i], cls[r]) for i in range(len(cls)) if (r := block.find(i)) != i])
 
     parts = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
