@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, judged by a random forest, in built-in functions only.
 
-A candidate is a word's core (quotes and marks stripped) of at least 12 characters
-of [A-Za-z0-9+/_=.-] that holds a digit. Its features are its length, its character
+A candidate is a run of at least 12 characters of [A-Za-z0-9+/_=.-] that holds a digit;
+a word may hold many (assignments, JSON and CSV without blanks). A run glued to its name
+(name=value, "name":"value") is a candidate without the name, and the name is one of its
+own if it is long enough and holds a digit. Its features are its length, its character
 classes and their transitions, how much of it dictionary words cover, whether it looks
 like a path or address, and what the neighbouring words say. The forest is grown once
 on the driver from labelled findings (a bounded, documented sample; by default
@@ -22,6 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORE = r"[A-Za-z0-9+/_=.-]{12,}"
+#: A name with its sign (1, 2), if one is glued to the run and a digit follows, and the run (3).
+NAMED = r"(?:([0-9]*+[A-Za-z_][A-Za-z0-9+/_.-]*+)[\\\"'`]*(=>|:=|==?|:)[\\\"'`]*(?!=|//)(?=[A-Za-z+/_=.-]*[0-9]))?(" + CORE + ")"
+#: Marks that part the fields of one word.
+FIELD_ENDS = r"[,;{}\[\]|<>]+"
+#: Longer fields are not repeated whole beside each of their candidates (bytes; characters of context kept).
+FIELD_BYTES, CONTEXT = 256, 64
 #: Words whose letters count as covered by the dictionary.
 DICTIONARY = (
     "account address admin application beta build cache client cluster commit config content data database default demo "
@@ -50,11 +58,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     near = at.select(
         "doc_id",
         F.col("i").alias("word_no"),
-        F.get("w", F.col("i")).alias("word"),
         F.concat_ws(" ", F.slice("w", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3)))).alias("before"),
         F.coalesce(F.get("w", F.col("i") + 1), F.lit("")).alias("after"),
+        F.explode(F.array(F.split(F.get("w", F.col("i")), FIELD_ENDS))).alias("fields"),
     )
-    return near.withColumn("value", F.regexp_extract("word", CORE, 0)).where(F.col("value").rlike("[0-9]"))
+    left = lambda j: F.transform(F.slice("fields", F.greatest(j - 1, F.lit(1)), F.least(j, F.lit(2))), lambda f: F.right(f, F.lit(CONTEXT)))
+    held = F.filter(F.sequence(F.lit(0), F.size("fields") - 1), lambda j: F.get("fields", j).rlike("[0-9]") & F.get("fields", j).rlike(CORE))
+    fields = F.transform(held, lambda j: F.struct(F.get("fields", j).alias("field"), F.concat_ws(" ", F.when(j < 3, F.col("before")), F.concat_ws(" ", left(j))).alias("near")))
+    parts = near.select("doc_id", "word_no", "after", F.explode(fields).alias("f")).select("doc_id", "word_no", "after", "f.field", "f.near")
+
+    def found(value: Column, before: Column, named: Column) -> Column:
+        short = F.concat(F.substring("field", 1, CONTEXT), F.lit(" "), named, value)
+        return F.struct(value.alias("value"), F.when(F.octet_length("field") <= FIELD_BYTES, F.col("field")).otherwise(short).alias("word"), before.alias("before"))
+
+    runs = F.arrays_zip(*[F.regexp_extract_all("field", F.lit(NAMED), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "sign"), (3, "run"))])
+    both = F.transform(runs, lambda x: F.array(
+        found(x["name"], F.col("near"), F.lit("")),
+        found(x["run"], F.when(x["name"] == "", F.col("near")).otherwise(F.concat(F.col("near"), F.lit(" "), F.right(x["name"], F.lit(CONTEXT)), x["sign"])), F.concat(F.right(x["name"], F.lit(CONTEXT)), x["sign"])),
+    ))
+    kept = F.filter(F.flatten(both), lambda c: c["value"].rlike("[0-9]") & (F.length(c["value"]) >= 12))
+    return parts.select("doc_id", "word_no", "after", F.explode(kept).alias("c")).select("doc_id", "word_no", "c.value", "c.word", "c.before", "after")
 
 
 def features(found: DataFrame) -> DataFrame:

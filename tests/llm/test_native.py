@@ -94,3 +94,26 @@ def test_licenses(spark):
     want = {(d, n) for d, t, *_ in docs for n, x in licenses.TEMPLATES.items() if contained(t, x)}
     assert want and found == want
     assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
+def test_secrets_glued_and_several_in_a_word(spark):
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    hexa, aws, other = h("a")[:40], "AKIA" + h("k")[:16].upper(), h("b")[:40]
+    texts = [
+        f'client_secret="{hexa}"', f'{{"access_token":"{hexa}"}}', f'[{{"a":"{hexa}","b":"{aws}"}}]', f"id,{hexa},{aws},{other}", f"client_secret={hexa}",
+        f'{{\\"access_token\\":\\"{hexa}\\"}}', f"{aws}:{other}", "password=abc123", f"token={hexa}==", "no_digit_in_this_word", f'x = "{hexa}"',
+        "https://example.com/page12345", ",".join(h(str(k))[:40] for k in range(300)), ":".join(h(str(k))[:40] for k in range(300)),
+    ]
+    want = [
+        [hexa], [hexa], [hexa, aws], [hexa, aws, other], [hexa], [hexa], [aws, other], ["password=abc123"], [hexa + "=="], [], [hexa],
+        ["//example.com/page12345"], [h(str(k))[:40] for k in range(300)], [h(str(k))[:40] for k in range(300)],
+    ]
+    docs = frame(spark, [(k, t, "", "", 0) for k, t in enumerate(texts)])
+    got, verdict = {k: [] for k in range(len(texts))}, {}
+    for r in secrets.scan_secrets(docs).collect():
+        got[r["doc_id"]].append(r["value_sha256"])
+        verdict[r["doc_id"], r["value_sha256"]] = r["is_secret"]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(map(h, v)) for k, v in enumerate(want)}
+    assert all(verdict[k, h(hexa)] for k in (0, 1, 4, 5)) and verdict[2, h(aws)] and verdict[3, h(aws)]
+    assert not verdict[11, h("//example.com/page12345")]
+    assert max(len(r["word"]) for r in secrets.candidates(docs).collect()) <= secrets.FIELD_BYTES + 64
