@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basestream.model import DUPLICATE, MATE_UNMAPPED, PAIRED, PROPER, QC_FAIL, READ1, READ2, REVERSE, UNMAPPED
+from basestream.model import DUPLICATE, MATE_UNMAPPED, PAIRED, PROPER, QC_FAIL, QUERY_OPS, READ1, READ2, REF_OPS, REVERSE, UNMAPPED
 
 
 def has(bit: int, flag: str = "flag") -> Column:
@@ -156,26 +156,133 @@ def probe_index(index: DataFrame, ref_id: int, start: int, end: int) -> DataFram
     return index.where((F.col("ref_id") == ref_id) & (F.col("start") <= end) & (F.col("start") + F.col("span") - 1 >= start))
 
 
+def _piled(bases: DataFrame, predicate: Callable[[], Column] | Column | None) -> DataFrame:
+    """(ref_id, pos, c, width): the entries of a column by file_ord and nth, and its widest
+    insertion. Depth, not the table, bounds a column."""
+    kept = bases if predicate is None else bases.where(predicate() if callable(predicate) else predicate)
+    # Columns that other reads insert before a gap's own are steps of its quality too.
+    wide = kept.where("nth > 0").groupBy("ref_id", "pos").agg(F.max("nth").alias("width"))
+    w = Window.partitionBy("file_ord", "chain", "skip").orderBy("pos", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    over = kept.where("gapped").join(wide, ["ref_id", "pos"], "left")
+    more = F.coalesce(F.sum(F.when(F.col("tail"), F.coalesce("width", F.col("nth")) - F.col("nth"))).over(w), F.lit(0)).cast("int")
+    stepped = over.withColumn("qual", F.when(F.col("steps") > 0, _halved("before_qual", F.col("steps") + more)).otherwise(F.col("qual")))
+    every = kept.where("not gapped").unionByName(stepped.drop("width"))
+    entry = F.struct("file_ord", "nth", "shown", "sign", "qual", "next_qual", "tail", "ended")
+    return every.groupBy("ref_id", "pos").agg(F.array_sort(F.collect_list(entry)).alias("c"), F.max("nth").alias("width"))
+
+
+def _halved(start: Column | str, steps: Column, to: Column | str = "next_qual") -> Column:
+    """(prev + next) / 2 in integers, ``steps`` times over."""
+    start, to = (F.col(x) if isinstance(x, str) else x for x in (start, to))
+    return to + F.floor((start - to) / F.pow(F.lit(2.0), F.least(steps, F.lit(31)))).cast("int")
+
+
 def pileup(bases: DataFrame, predicate: Callable[[], Column] | Column | None = None) -> DataFrame:
     """Columns of (ref_id, pos): depth, bases and qualities in order of arrival
-    (file_ord). A column's depth is bounded by coverage, not by the table."""
-    kept = bases if predicate is None else bases.where(predicate() if callable(predicate) else predicate)
-    piled = kept.groupBy("ref_id", "pos").agg(F.array_sort(F.collect_list(F.struct("file_ord", "shown", "qual"))).alias("c"))
-    return piled.select(
-        "ref_id", "pos", F.size("c").cast("long").alias("depth"),
-        F.array_join(F.transform("c", lambda x: x["shown"]), "").alias("bases"), F.array_join(F.transform("c", lambda x: x["qual"]), "").alias("quals"),
+    (file_ord), from ``read_bases``. Inserted bases stand behind their column's base; the
+    quality is that of the column's last inserted place."""
+    from basestream.functions.sequence import quality_char
+
+    at_end = lambda x: F.when(x["ended"], x["qual"]).otherwise(_halved(x["qual"], F.col("width") - x["nth"], x["next_qual"]))
+    return _piled(bases, predicate).select(
+        "ref_id", "pos", F.size(F.filter("c", lambda x: x["nth"] == 0)).cast("long").alias("depth"),
+        F.array_join(F.transform("c", lambda x: x["shown"]), "").alias("bases"),
+        F.array_join(F.transform(F.filter("c", lambda x: x["tail"]), lambda x: quality_char(at_end(x))), "").alias("quals"),
+    )
+
+
+def pileup_columns(bases: DataFrame, predicate: Callable[[], Column] | Column | None = None) -> DataFrame:
+    """The layout with insertion columns (ref_id, pos, nth): a read that goes on beyond an
+    insertion it lacks shows * there."""
+    from basestream.functions.sequence import quality_char
+
+    there = lambda x, n: (x["nth"] == n) | (x["tail"] & ~x["ended"] & (x["nth"] < n))
+    cols = _piled(bases, predicate).select("ref_id", "pos", "c", F.explode(F.sequence(F.lit(0), F.col("width"))).alias("n"))
+    held = cols.withColumn("c", F.filter("c", lambda x: there(x, F.col("n"))))
+    return held.select(
+        "ref_id", "pos", F.col("n").alias("nth"), F.size("c").cast("long").alias("depth"),
+        F.array_join(F.transform("c", lambda x: F.when(x["nth"] == F.col("n"), x["sign"]).otherwise("*")), "").alias("bases"),
+        F.array_join(F.transform("c", lambda x: quality_char(_halved(x["qual"], F.col("n") - x["nth"], x["next_qual"]))), "").alias("quals"),
     )
 
 
-def read_bases(aln: DataFrame, seq: Column, qual: Column) -> DataFrame:
-    """One row per aligned base with its pileup sign: ^ and mapping quality before a
-    read's first base, $ after its last, lower case on the reverse strand."""
+def _walked(ops: Column) -> Column:
+    """The operations with columns of their own, each with where it begins: r and q are
+    reference and query bases before it, n inserted places at its position, t gap columns
+    since the last base, and skip the place behind a skip if no base followed yet."""
+    kind = "array<struct<op:string,len:int,r:int,q:int,n:int,t:int,skip:int>>"
+    zero = F.struct(*[F.lit(0).alias(k) for k in "rqnt"], F.lit(-1).alias("skip"), F.array().cast(kind).alias("out"))
+
+    def step(a, o):
+        ref, query, op = o["op"].isin(*REF_OPS), o["op"].isin(*QUERY_OPS), o["op"]
+        base, inner = op.isin(*"M=XI"), op.isin("I", "P")
+        own = ref | (inner & (a["r"] > 0))
+        mine = F.struct(op.alias("op"), o["len"].alias("len"), *[a[k].alias(k) for k in ("r", "q", "n", "t", "skip")])
+        return F.struct(
+            (a["r"] + F.when(ref, o["len"]).otherwise(0)).alias("r"), (a["q"] + F.when(query, o["len"]).otherwise(0)).alias("q"),
+            F.when(ref, 0).when(own, a["n"] + o["len"]).otherwise(a["n"]).alias("n"),
+            F.when((base & own) | (op == "N"), 0).when(own, a["t"] + o["len"]).otherwise(a["t"]).alias("t"),
+            F.when(base & own, 0).when(op == "N", a["r"] + o["len"]).otherwise(a["skip"]).alias("skip"),
+            F.when(own, F.concat(a["out"], F.array(mine))).otherwise(a["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.filter(ops, lambda o: o["len"] > 0), zero, step, lambda a: a["out"])
+
+
+def read_bases(aln: DataFrame) -> DataFrame:
+    """One row per column of a read along its CIGAR (needs cigar, seq and qual as in
+    alignment text): reference columns have nth 0, inserted and padded ones nth 1 on.
+
+    ``shown`` is the pileup sign: ^ and mapping quality before a read's first base and
+    behind a skip, $ after its last, before and in a skip, lower case on the reverse
+    strand, +len before inserted bases, * in deletions, . in skips. ``sign`` is the base
+    alone. Clips and insertions before the first column have none. Gaps take the mean of
+    the quality before and of the next base, skips 0, bases past the sequence are N of 255."""
+    from basestream.functions import cigar
     from basestream.functions.sequence import quality_char
 
-    every = aln.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("span") - 1)).alias("k"))
-    base = F.substring(seq, F.pmod(F.col("k") + F.col("pos"), F.length(seq)).cast("int") + 1, F.lit(1))
-    strand = F.when(has(REVERSE), F.lower(base)).otherwise(F.upper(base))
-    shown = F.concat(
-        F.when(F.col("k") == 0, F.concat(F.lit("^"), quality_char(F.col("mapq")))).otherwise(""), strand, F.when(F.col("k") == F.col("span") - 1, "$").otherwise("")
+    letters = F.regexp_replace(F.upper("seq"), "[^ACMGRSVTWYHKDB]", "N")
+    given = lambda c: F.when((F.col(c) == "*") | (F.col(c) == ""), F.array().cast("array<string>"))
+    # Explode keeps the parts columns of their own, made once a read.
+    parts = F.struct(
+        given("seq").otherwise(F.split(letters, "")).alias("b"), given("qual").otherwise(F.split("qual", "")).alias("q"), _walked(cigar.parse(F.col("cigar"))).alias("ops")
     )
-    return every.select("ref_id", (F.col("pos") + F.col("k")).alias("pos"), "file_ord", "flag", shown.alias("shown"), quality_char(qual).alias("qual"), strand.alias("base"))
+    read = aln.select("ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.col("cigar").contains("D").alias("gapped"), F.explode(F.array(parts)).alias("p"))
+    b, q, ops, n_ops = F.col("p.b"), F.col("p.q"), F.col("p.ops"), F.size("p.ops")
+    score = lambda i: F.when(i < F.size(b), F.coalesce(F.ascii(F.get(q, i)) - 33, F.lit(255))).otherwise(255)
+    following = lambda i: F.when(i < F.size(b), score(i)).otherwise(score(F.greatest(F.lit(0), i - 1)))
+    reverse, mark = has(REVERSE), F.concat(F.lit("^"), quality_char(F.col("mapq")))
+    cased = lambda c: F.when(reverse, F.lower(c)).otherwise(c)
+
+    def columns(o, i):
+        op, after, prior = o["op"], F.get(ops, i + 1)["op"], F.when(i > 0, F.get(ops, i - 1)["op"])
+        inner, base = op.isin("I", "P"), op.isin(*"M=XI")
+        more = F.aggregate(F.filter(ops, lambda x: (x["r"] == o["r"]) & (x["op"] == "I")), F.lit(0), lambda s, x: s + x["len"])
+        size = F.when((o["n"] == 0) & F.coalesce(after != "P", F.lit(True)), o["len"]).otherwise(more)
+        leads = (op == "I") & ((o["n"] == 0) | ~F.exists(ops, lambda x: (x["r"] == o["r"]) & (x["op"] == "I") & (x["n"] < o["n"])))
+
+        def column(k):
+            last, j = k == o["len"] - 1, o["q"] + k
+            steps = F.when(op.isin("D", "P"), o["t"] + k + 1).otherwise(0)
+            before = F.when(o["skip"] != 0, F.lit(0)).otherwise(score(o["q"] - 1))
+            nxt = F.when(base, following(j + 1)).otherwise(following(o["q"]))
+            sign = F.when(base, F.coalesce(F.get(b, j), F.lit("N"))).when(op == "N", ".").otherwise("*")
+            ends = (op == "N") | (last & F.coalesce(after == "N", F.lit(True)))
+            shown = F.concat(
+                F.when((k == 0) & F.coalesce(prior == "N", F.lit(True)) & ~((op == "N") & (i > 0)), mark).otherwise(""),
+                F.when(leads & (k == 0), F.concat(F.lit("+"), size.cast("string"))).otherwise(""),
+                F.when(op == "P", "").otherwise(cased(sign)), F.when(ends, "$").otherwise(""),
+            )
+            return F.struct(
+                F.when(inner, o["r"] - 1).otherwise(o["r"] + k).alias("off"), F.when(inner, o["n"] + k + 1).otherwise(0).alias("nth"), sign.alias("sign"), shown.alias("shown"),
+                F.when(base, score(j)).when(op == "N", 0).otherwise(_halved(before, steps, nxt)).cast("int").alias("qual"), nxt.alias("next_qual"),
+                before.alias("before_qual"), steps.alias("steps"), F.when(base, j + 1).otherwise(o["q"]).alias("chain"),
+                F.when(base, 0).when(op == "N", o["r"] + k + 1).otherwise(o["skip"]).alias("skip"),
+                F.when(last, ~F.coalesce(after.isin("I", "P"), F.lit(False))).otherwise(~inner).alias("tail"), (last & (i == n_ops - 1)).alias("ended"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), o["len"] - 1), column)
+
+    every = read.select("ref_id", "at", "file_ord", "flag", "mapq", "gapped", F.explode(F.flatten(F.transform(ops, columns))).alias("c"))
+    rest = [F.col(f"c.{k}") for k in ("nth", "sign", "shown", "qual", "next_qual", "before_qual", "steps", "chain", "skip", "tail", "ended")]
+    return every.select("ref_id", (F.col("at") + F.col("c.off")).alias("pos"), "file_ord", "flag", "mapq", "gapped", *rest)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basestream.functions.sequence import quality_char
 from basestream.operators.ordering import number_rows
 
 
@@ -41,6 +42,13 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(records(spark, sf_dir), [F.col(k) for k in KEY])
 
 
+def with_reads(aln: DataFrame) -> DataFrame:
+    """Made-up reads: full matches whose base at pos is the (pos mod 4)th of ACGT, all of quality mapq."""
+    shift, span = (F.col("pos") % 4).cast("int"), F.col("span")
+    seq = F.substring(F.repeat(F.lit("ACGT"), (span / 4).cast("int") + 2), shift + 1, span)
+    return aln.withColumns({"cigar": F.concat(span.cast("string"), F.lit("M")), "seq": seq, "qual": F.repeat(quality_char(F.col("mapq")), span)})
+
+
 ALN = """
 aln as (
   select 'o'||l_orderkey as qname, cast(l_suppkey % 4 as int) as ref_id, cast(l_partkey as bigint) as pos,

@@ -11,7 +11,7 @@ from basestream.functions import cigar, sequence, tags, trace
 from basestream.operators import alignments as al
 from basestream.operators import lookups, signal, statistics
 from basestream.operators.ordering import number_rows
-from basestream.plans.adapters import ALN, FLOWS, PROGRAMS, SEQS, alignments, flows, header, programs, records, sequences, table
+from basestream.plans.adapters import ALN, FLOWS, PROGRAMS, SEQS, alignments, flows, header, programs, records, sequences, table, with_reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -254,8 +254,7 @@ PILE = ALN + """, b as (select ref_id, pos + k as pos, file_ord, flag, mapq,
 
 
 def _piled(spark, d):
-    kept = alignments(spark, d).where(~al.has(4) & (F.col("ref_id") >= 0))
-    return al.read_bases(kept, F.lit("ACGT"), F.col("mapq"))
+    return al.read_bases(with_reads(alignments(spark, d).where(~al.has(4) & (F.col("ref_id") >= 0))))
 
 
 @query("with" + PILE + "select cast(ref_id as bigint) as ref_id, pos, count(*) as depth, string_agg(shown, '' order by file_ord) as bases, string_agg(chr(cast(least(mapq, 93) + 33 as int)), '' order by file_ord) as quals from b group by 1, 2")
@@ -266,7 +265,7 @@ def pileup(spark, d):
 @query("with" + PILE + "select cast(ref_id as bigint) as ref_id, pos, count(*) as depth, string_agg(shown, '' order by file_ord) as bases from b where mapq >= 20 and flag & 1024 = 0 group by 1, 2")
 def pileup_predicate(spark, d):
     kept = alignments(spark, d).where(~al.has(4) & (F.col("ref_id") >= 0) & (F.col("mapq") >= 20))
-    return long(al.pileup(al.read_bases(kept, F.lit("ACGT"), F.col("mapq")), ~al.has(1024)).drop("quals"))
+    return long(al.pileup(al.read_bases(with_reads(kept)), ~al.has(1024)).drop("quals"))
 
 
 @query("with " + SEQS + """select doc_id, length(seq) - length(replace(seq,'A','')) as "A", length(seq) - length(replace(seq,'C','')) as "C", length(seq) - length(replace(seq,'G','')) as "G",

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from basestream.functions import cigar, sequence, tags
-from basestream.operators import reference, signal
+from basestream.operators import alignments, reference, signal
 from basestream.operators.ordering import number_rows
 
 
@@ -99,3 +99,29 @@ def test_locate(spark, tmp_path):
     assert find(f"|{tmp_path}/d:TAR={tmp_path}/t.tar") == {"one": "one", "two": "two", "three": None}
     (tmp_path / "list.txt").write_text("a\n\n b \n")
     assert search.file_list(spark, str(tmp_path / "list.txt")) == ["a", "b"]
+
+
+def test_pileup_walks_the_cigar(spark):
+    text = lambda *q: "".join(chr(x + 33) for x in q)
+    reads = spark.createDataFrame([
+        (0, 10, 1, 0, 20, "2S3M2I2M", "TTACGGGAC", text(2, 2, 30, 31, 32, 33, 34, 35, 36)),
+        (0, 11, 2, 16, 0, "2M2D1M3H", "CGT", text(40, 30, 11)),
+        (0, 12, 3, 0, 93, "1M2N1M", "ga", text(21, 41)),
+        (1, 5, 4, 16, 7, "2M", "*", "*"),
+        (1, 5, 5, 0, 7, "*", "AC", "II"),
+        (2, 5, 6, 0, 7, "3I2M2I1P1I2M4S", "TTTACGGTCATTTT", text(*range(20, 34))),
+    ], "ref_id int, pos long, file_ord long, flag int, mapq int, cigar string, seq string, qual string")
+    bases = alignments.read_bases(reads)
+    rows = {(r["ref_id"], r["pos"]): (r["depth"], r["bases"], r["quals"]) for r in alignments.pileup(bases).collect()}
+    assert rows == {
+        (0, 10): (1, "^5A", text(30)), (0, 11): (2, "C^!c", text(31, 40)), (0, 12): (3, "G+2GGg^~G$", text(34, 15, 36)),
+        (0, 13): (3, "A*.$", text(35, 13, 0)), (0, 14): (3, "C$*.$", text(36, 12, 0)), (0, 15): (2, "t$^~A$", text(11, 41)),
+        (1, 5): (1, "^(n", "~"), (1, 6): (1, "n$", "~"),
+        (2, 5): (1, "^(A", text(23)), (2, 6): (1, "C+3GGT", text(27)), (2, 7): (1, "C", text(28)), (2, 8): (1, "A$", text(29)),
+    }
+    alone = {r["pos"]: (r["bases"], r["quals"]) for r in alignments.pileup(bases, F.col("file_ord") == 2).collect()}
+    assert alone == {11: ("^!c", text(40)), 12: ("g", text(30)), 13: ("*", text(20)), 14: ("*", text(15)), 15: ("t$", text(11))}
+    cols = {(r["ref_id"], r["pos"], r["nth"]): (r["depth"], r["bases"], r["quals"]) for r in alignments.pileup_columns(bases).collect()}
+    assert [cols[0, 12, n] for n in range(3)] == [(3, "GGG", text(32, 30, 21)), (3, "G**", text(33, 20, 31)), (3, "G**", text(34, 15, 36))]
+    assert cols[0, 13, 0] == (3, "A*.", text(35, 13, 0)) and (0, 13, 1) not in cols
+    assert [cols[2, 6, n][1:] for n in range(5) if (2, 6, n) in cols] == [("C", text(24)), ("G", text(25)), ("G", text(26)), ("*", text(26)), ("T", text(27))]
