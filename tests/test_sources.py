@@ -202,3 +202,14 @@ def test_tagged_chromatogram():
     assert (r["format"], r["base"], r["base_pos"], r["trace_name"], r["max_trace"]) == ("ABI", "ACGT-", [2, 4, 6, 8, 9], "first", 21)
     assert (r["trace_g"][0], r["trace_a"][0], r["trace_t"][0], r["trace_c"][0]) == (9, 10, 11, 12)
     assert r["prob_c"] == [0, 8, 0, 0, 0] and r["info"]["LANE"] == "12"
+
+
+def test_slice_stream_ends_a_source(spark, tmp_path):
+    schema = "source string, file_ord long, ref_id int, pos long, span int"
+    rows = [(s, k, 0, 100 + k, 10) for s in "st" for k in range(7)] + [("s", None, None, None, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = cut_slices(stream, most_records=5).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["source"], r["slice_no"], r["start"], r["end"], r["records"], r["bases"]) for r in spark.table("ended").collect())
+    assert got == [("s", 0, 100, 113, 5, 50), ("s", 1, 105, 115, 2, 20), ("t", 0, 100, 113, 5, 50)]
