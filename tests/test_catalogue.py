@@ -39,3 +39,13 @@ def test_query(spark, duck, name):
     at = sorted(range(len(cols)), key=cols.__getitem__)
     assert sorted(df.columns) == sorted(cols)
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_broken_functions_show(spark, monkeypatch):
+    monkeypatch.setattr(catalogue.lookups, "same_headers", lambda a, b: spark.range(1).selectExpr("true as compatible"))
+    assert not catalogue.QUERIES["header_compatible"](spark, DATA).first()["compatible"]
+    called = []
+    comments = catalogue.trace.comments
+    monkeypatch.setattr(catalogue.trace, "comments", lambda info: called.append(1) or comments(info))
+    assert catalogue.QUERIES["comment_fields"](spark, DATA).count() and called
