@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basestream.llm.common import materialise
+from basestream.operators.ordering import number_rows
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -523,9 +524,14 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_sh
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8", **options) -> DataFrame:
-    """One document of each group stays: the one with the least id. Of rows that repeat
-    an id all stay or go together; rows without an id stay."""
-    groups = jaccard_groups(docs, n, threshold, **options)
-    kept = groups.where("component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c")).where(F.col("c") != F.col("doc_id"))
-    gone = kept.select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """One row of each group stays: the one with the least id (rows without an id come
+    last). Where ids repeat or lack, rows are told apart by numbers of their own."""
+    doc_id = F.col("doc_id").cast("long")
+    odd = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is null or rows > 1")
+    if odd.isEmpty():
+        key, keyed = "doc_id", docs
+    else:
+        key, keyed = "row_key", number_rows(docs, [doc_id.asc_nulls_last(), F.col("text").cast("string")], "row_key")
+    groups = jaccard_groups(keyed.select(F.col(key).alias("doc_id"), "text"), n, threshold, **options)
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id"))
+    return keyed.join(gone, F.col(key).cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)

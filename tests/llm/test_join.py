@@ -122,3 +122,11 @@ def test_keep_one_and_awkward_rows(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in J.jaccard_groups(same).collect()), key=str)
     assert got == [(1, 1), (1, 1), (3, 1), (None, None)]
     assert J.keep_one(same).where(F.col("doc_id") == 3).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    copy, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, copy, "", "a", 1), (2, copy, "", "b", 1), (2, other, "", "c", 1), (None, copy, "", "d", 1), (None, "x y z u v w t", "", "e", 1), (4, other, "", "f", 1), (4, other, "", "g", 1)]
+    kept = J.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", copy), ("2", other), ("None", "x y z u v w t")]
