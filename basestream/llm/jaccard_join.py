@@ -10,17 +10,20 @@ Unrelated texts all lie at distance 1 from each other, where no pivot tells them
 apart, so the space is first cut losslessly into blocks:
 
 1. Documents with equal shingle sets become one class.
-2. Two linked sets differ in at most D shingles (D follows from the sizes). Hash
-   space is cut into more than D parts, so some part holds the same shingles in
-   both; part signatures of a size class therefore collide for every link. Parts that
-   are empty don't count, and a set with too many of them also signs its empty parts,
-   so the guarantee holds for every set.
-3. Connected components over equal signatures are the blocks; no link leaves one.
-4. A block of at most ``block_shingles`` shingles is one task's work: Voronoi
-   regions, recursion, exact join. A larger block gets pivots across the cluster: every
-   member measures its distance to them, members within the radius are linked to the
-   pivot, and the rest meet the whole block in Voronoi regions cut into tiles
-   of bounded size. Nothing is capped or sampled.
+2. A class shows its least ``p`` shingle hashes (tokens), where p exceeds the most
+   shingles that a link may lose by a slack. Linked classes then share at least as many
+   tokens as the slack leaves, which is counted exactly: pairs below it are no links.
+3. Tokens that more than ``HOT`` classes show make no pairs. A pair counts as if it shared
+   all hot tokens that both sides have, so none is lost; classes whose hot tokens alone
+   could make a link meet by part signatures instead: linked sets differ in at most D
+   shingles, hash space is cut into more than D parts, so some part holds the same
+   shingles in both. (Empty parts don't count, and a set with too many of them also signs
+   its empty parts.)
+4. Connected components over what is left are the blocks; no link leaves one.
+5. A block of at most ``block_shingles`` shingles is one task's work: Voronoi regions,
+   recursion, exact join. A larger block is cut into Voronoi regions across the cluster,
+   again and again while that separates it; what pivots can't separate is compared in
+   tiles of bounded size. Nothing is capped or sampled.
 
 Only whole groups are wanted, so pairs already in one group aren't compared again: a
 group of near copies costs about one comparison per copy, not one per pair.
@@ -28,9 +31,10 @@ group of near copies costs about one comparison per copy, not one per pair.
 Shingles are 64-bit hashes; two different shingles agree with probability 2**-64.
 
 Defined cases: texts without words have an empty set and link with nothing; with fewer
-words than a shingle has, the whole sequence is the one shingle; rows with the same
-doc_id are nodes of their own that share the id; rows without an id take no part in
-links and have no component; no rows give no rows.
+words than a shingle has, the whole sequence is the one shingle; texts of any length are
+used whole; rows with the same doc_id are nodes of their own that share the id; rows
+without an id take no part in links and have no component; other columns of the input,
+whatever their names, are left alone; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basestream.llm.common import materialise
+from basestream.llm.common import materialise, unused
 from basestream.operators.ordering import number_rows
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,7 +64,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
-    def __init__(self, n: int, most: int = 400_000):
+    def __init__(self, n: int, most: int = 200_000):
         self.n, self.most = n, most
         self.cache: dict[bytes, int] = {}
 
@@ -91,7 +95,7 @@ class Signer:
     at its own level, which serves its class with itself and the next, and at the level
     below, which serves the class below with its own."""
 
-    def __init__(self, threshold: Fraction, most: int = 1 << 26):
+    def __init__(self, threshold: Fraction, most: int = 1 << 40):
         self.t = threshold
         starts = [1]
         while starts[-1] < most:
@@ -248,11 +252,40 @@ class Block:
                     group[group == old] = new
 
 
+def forest(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """Fewer edges (a, b) with the same components: each run of ``most`` edges of a
+    partition becomes stars around its least nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while up.setdefault(i, i) != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        seen = 0
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            seen += b.num_rows
+            if seen >= most:
+                yield _edges([(i, r) for i in list(up) if (r := find(i)) != i])
+                up.clear()
+                seen = 0
+        yield _edges([(i, r) for i in list(up) if (r := find(i)) != i])
+
+    return edges.select("a", "b").mapInArrow(run, EDGES)
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the least node it reaches.
     Alternates linking larger neighbours and own neighbours to the least one seen;
     every round is a few grouped shuffles, without a list of any node's neighbours."""
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = materialise(forest(edges).distinct())
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
@@ -276,19 +309,145 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(tops.select("node", F.col("node").alias("root")))
 
 
-def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls): cls numbers the shingle set (0: empty)."""
+#: A token is hot if more classes than this show it.
+HOT = 16
+
+
+def slack(size, t: Fraction):
+    """Tokens that a set of ``size`` shingles shows beyond those a link may lose."""
+    return np.minimum(-(-size * t.numerator // t.denominator), 16 + size // 16)
+
+
+def shown(size, t: Fraction):
+    """How many of its least hashes a set shows."""
+    return size - -(-size * t.numerator // t.denominator) + slack(size, t)
+
+
+def needed(x, y, t: Fraction):
+    """Tokens that linked sets of these sizes share at least. They have at least ``common``
+    shingles in common; of those, the k least stand among the first size - common + k of
+    either set."""
+    common = -(-t.numerator * (x + y) // (t.numerator + t.denominator))
+    return np.minimum(shown(x, t) - x + common, shown(y, t) - y + common)
+
+
+def pairs_of(token: np.ndarray, cls: np.ndarray, size: np.ndarray, t: Fraction) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of the classes that show the tokens: pairs (a, b, tokens in common, tokens needed)
+    by tokens that aren't hot, and (cls, size, hot tokens)."""
+    names, first, dense = np.unique(cls, return_index=True, return_inverse=True)
+    sizes = size[first].astype(np.int64)
+    order = np.lexsort((dense, token))
+    token, dense = token[order], dense[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (dense[1:] != dense[:-1])
+    token, dense = token[fresh], dense[fresh]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    many = np.diff(np.append(start, len(token)))
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(2, HOT + 1):
+        at = start[many == k]
+        if len(at):
+            own = dense[at[:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            a, b = own[:, i].ravel(), own[:, j].ravel()  # a < b
+            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            ok = small * t.denominator >= large * t.numerator
+            found, count = np.unique(a[ok] * len(names) + b[ok], return_counts=True)
+            keys.append(found)
+            counts.append(count)
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
+    a, b = key // len(names), key % len(names)
+    hot = np.bincount(dense[np.repeat(many > HOT, many)], minlength=len(names))
+    has = hot > 0
+    return [names[a], names[b], total, needed(sizes[a], sizes[b], t)], [names[has], sizes[has], hot[has].astype(np.int64)]
+
+
+def scan(docs: DataFrame, n: int, t: Fraction, buckets: int, parts: int, most_docs: int = 30_000, most_tokens: int = 500_000) -> DataFrame:
+    """One pass over the texts and one shuffle of tokens: rows of packed ``docs``
+    (has an id, doc_id, shingles, class), ``pairs`` and ``hot`` as ``pairs_of`` has them.
+    Tokens travel in packed arrays, one for each of ``buckets`` ranges of their values;
+    the number of ranges follows the input."""
+    edges_ = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    columns = ["bucket", "tokens", "own", "names", "sizes", "docs"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
+        told: list[tuple[int, int, int, int]] = []
+        found: dict[int, np.ndarray] = {}
+        size: list[int] = []
+        amount = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(told[0][3] % buckets, b"", b"", b"", b"", np.array(told, np.int64).tobytes())]
+            if found:
+                names, sizes = np.array(list(found), np.int64), np.array(size, np.int64)
+                own = np.repeat(np.arange(len(names), dtype=np.uint16), [len(x) for x in found.values()])
+                token = mix(np.concatenate(list(found.values())) ^ M1)
+                order = np.argsort(token)
+                token, own = token[order], own[order]
+                cuts = [0, *np.searchsorted(token, edges_).tolist(), len(token)]
+                for k in range(buckets):
+                    if cuts[k] < cuts[k + 1]:
+                        here, index = np.unique(own[cuts[k] : cuts[k + 1]], return_inverse=True)
+                        rows.append((k, token[cuts[k] : cuts[k + 1]].tobytes(), index.astype(np.uint16).tobytes(), names[here].tobytes(), sizes[here].tobytes(), b""))
+            told.clear()
+            found.clear()
+            size.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=columns)
+
         for b in batches:
-            sets = map(shingle, b.column(1).to_pylist())
-            told = [(len(s), class_of(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int64())], names=["doc_id", "n_shingles", "cls"]
-            )
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    s = shingle(text)
+                    c = class_of(s)
+                    told.append((doc_id is not None, doc_id or 0, len(s), c))
+                    if len(s) and doc_id is not None and c not in found:
+                        found[c] = s[: int(shown(len(s), t))].copy()
+                        size.append(len(s))
+                        amount += len(found[c])
+                    if len(told) >= most_docs or amount >= most_tokens:
+                        yield flush()
+                        amount = 0
+        if told:
+            yield flush()
+
+    def packed(told: list[np.ndarray]) -> Iterator[bytes]:
+        for at in range(0, len(told[0]), 100_000):
+            yield np.stack([x[at : at + 100_000] for x in told]).tobytes()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, 1):
+            out: list[tuple] = [(r[4], None, None) for r in rows if r[4]]
+            rows = [r for r in rows if r[0]]
+            if rows:
+                own = [np.frombuffer(r[1], np.uint16) for r in rows]
+                pairs, hot = pairs_of(
+                    np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]),
+                    np.concatenate([np.frombuffer(r[2], np.int64)[o] for r, o in zip(rows, own)]),
+                    np.concatenate([np.frombuffer(r[3], np.int64)[o] for r, o in zip(rows, own)]),
+                    t,
+                )
+                out += [(None, x, None) for x in packed(pairs)] + [(None, None, x) for x in packed(hot)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(3)], names=["docs", "pairs", "hot"])
+
+    shows = docs.mapInArrow(show, "bucket int, tokens binary, own binary, names binary, sizes binary, docs binary")
+    return materialise(shows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "docs binary, pairs binary, hot binary"))
+
+
+def unpacked(told: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """The rows of a packed column of ``scan``; all are long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                got = np.frombuffer(x, np.int64)
+                got = got.reshape(-1, len(names)).T if column == "docs" else got.reshape(len(names), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in got], names=names)
+
+    return told.select(column).where(F.col(column).isNotNull()).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def stars(sigs: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -401,76 +560,120 @@ def join_small(members: DataFrame, n: int, threshold: Fraction, parts: int) -> D
     return members.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, EDGES)
 
 
-def join_large(members: DataFrame, n: int, threshold: Fraction, tile_shingles: int, pivots: int = 6) -> DataFrame:
-    """members: (block, cls, n_shingles, text) of blocks too large for a task."""
-    # Pivots: for each of several hashes the member with the least one; one row per block.
-    ranks = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"p{k}") for k in range(pivots)]
-    chosen = members.groupBy("block").agg(*ranks).select("block", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.cls") for k in range(pivots)]))).alias("cls"))
-    pivot_rows = members.join(chosen, ["block", "cls"]).groupBy("block").agg(F.collect_list(F.struct("cls", "text")).alias("pivots"))
-    near = float(1 - threshold)
+def with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    return members.join(texts.select("cls", "text"), "cls")
+
+
+def measure(members: DataFrame, texts: DataFrame, n: int, t: Fraction, limit: int, parts: int, pivots: int, turn: int) -> DataFrame:
+    """members: (block, cls, n_shingles). (block, cls, pivot, region): rows with a pivot are
+    links to it, the others place a member in the region of the pivot with that number.
+    Pivots of a block go once to each of its shares, before the members dealt to it."""
+    ranks = [F.min(F.struct(F.xxhash64("cls", F.lit(turn * pivots + k)).alias("h"), "cls")).alias(f"p{k}") for k in range(pivots)]
+    about = members.groupBy("block").agg(F.ceil(F.sum("n_shingles") / limit).cast("long").alias("shares"), *ranks)
+    chosen = about.select("block", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.cls") for k in range(pivots)]))).alias("cls"), "shares")
+    heads = with_texts(chosen, texts).select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "cls", "text")
+    dealt = with_texts(members.join(about.select("block", "shares"), "block"), texts)
+    dealt = dealt.select("block", F.pmod(F.xxhash64("cls"), F.col("shares")).alias("share"), F.lit(1).alias("kind"), "cls", "text")
+    window = 2 * float(1 - t) + 1e-9
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
-        known: dict = {}
+        now, known = None, []
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
-            rows: list[tuple] = []
-            for block, cls, text, piv in zip(*(b.column(i).to_pylist() for i in range(4))):
-                sets = known.get(block)
-                if sets is None:
-                    known.clear()
-                    sets = known[block] = [(p["cls"], shingle(p["text"])) for p in sorted(piv, key=lambda p: p["cls"])]
-                s = shingle(text)
-                far = []
-                for p, q in sets:
-                    c = len(np.intersect1d(s, q, assume_unique=True))
-                    far.append(1 - c / (len(s) + len(q) - c))
-                    if linked(c, len(s), len(q), threshold.numerator, threshold.denominator) and p != cls:
-                        rows.append((block, cls, p, -1))
-                least = min(far)
-                for k, d in enumerate(far):
-                    if d <= least + 2 * near + 1e-9:
-                        rows.append((block, cls, None, k))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["block", "cls", "pivot", "region"])
-
-    # The pivots of a block are replicated over its salts, so a hot block is measured by many tasks.
-    salts = 32
-    salted = members.select("block", "cls", "text", F.pmod(F.xxhash64("cls"), F.lit(salts)).alias("salt"))
-    spread = pivot_rows.select("block", "pivots", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    told = materialise(salted.join(spread, ["block", "salt"]).select("block", "cls", "text", "pivots").mapInArrow(measure, "block long, cls long, pivot long, region int"))
-    direct = told.where("pivot is not null").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-    # Who is linked to a pivot is in the pivot's group; the largest group of a region needs no pairs inside.
-    group = connected(direct).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
-    placed = told.where("region >= 0").select("block", "region", "cls").join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-    sizes = placed.groupBy("block", "region", "grp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("block", "region").agg(F.max(F.struct("n", "grp")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rest = materialise(
-        placed.join(main, ["block", "region"]).select("block", "region", "cls", (F.col("grp") == F.col("top.grp")).alias("inner"))
-        .join(members.select("cls", "n_shingles"), "cls")
-    )
-    # Tiles of bounded size: the outer members of a region against all of them.
-    amount = rest.groupBy("block", "region").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(~F.col("inner"), F.col("n_shingles")).otherwise(0)).alias("outer"))
-    tiled = rest.join(
-        amount.select("block", "region", F.ceil(F.col("all") / tile_shingles).cast("int").alias("ny"), F.ceil(F.col("outer") / tile_shingles).cast("int").alias("nx")), ["block", "region"]
-    )
-    x = tiled.where(~F.col("inner")).select(
-        "block", "region", "cls", F.lit(0).alias("side"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nx")).cast("int").alias("tx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("ty")
-    )
-    y = tiled.select("block", "region", "cls", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("tx"), F.pmod(F.xxhash64("cls", F.lit(2)), F.col("ny")).cast("int").alias("ty"))
-    tiles = x.unionByName(y).withColumn("tile", F.xxhash64("block", "region", "tx", "ty"))
+            for at in range(0, b.num_rows, 500):
+                rows: list[tuple] = []
+                for block, share, kind, cls, text in zip(*(b.slice(at, 500).column(i).to_pylist() for i in range(5))):
+                    if (block, share) != now:
+                        now, known = (block, share), []
+                    s = shingle(text)
+                    if kind == 0:
+                        known.append((cls, s))
+                        known.sort(key=lambda x: x[0])
+                        continue
+                    far = []
+                    for p, q in known:
+                        c = len(np.intersect1d(s, q, assume_unique=True))
+                        far.append(1 - c / (len(s) + len(q) - c))
+                        if p != cls and linked(c, len(s), len(q), t.numerator, t.denominator):
+                            rows.append((block, cls, p, -1))
+                    rows += [(block, cls, None, k) for k, d in enumerate(far) if d <= min(far) + window]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["block", "cls", "pivot", "region"])
+
+    both = heads.unionByName(dealt).repartition(parts, "block", "share").sortWithinPartitions("block", "share", "kind")
+    return materialise(both.mapInArrow(run, "block long, cls long, pivot long, region int"))
+
+
+def tile_join(members: DataFrame, texts: DataFrame, n: int, t: Fraction, tile_shingles: int, parts: int) -> DataFrame:
+    """members: (block, cls, n_shingles, grp). The members outside a block's main group meet
+    all of the block, in tiles of bounded size."""
+    sizes = members.groupBy("block", "grp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("n", "grp")).alias("top"))
+    rest = members.join(main, "block").withColumn("inner", F.col("grp") == F.col("top.grp")).drop("top")
+    amount = rest.groupBy("block").agg(F.sum("n_shingles").alias("every"), F.sum(F.when(~F.col("inner"), F.col("n_shingles")).otherwise(0)).alias("outer"))
+    shape = amount.select("block", F.ceil(F.col("every") / tile_shingles).cast("int").alias("ny"), F.greatest(F.lit(1), F.ceil(F.col("outer") / tile_shingles).cast("int")).alias("nx"))
+    tiled = rest.join(shape, "block")
+    x = tiled.where(~F.col("inner")).select("block", "cls", "grp", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("nx")).cast("int").alias("tx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("ty"))
+    y = tiled.select("block", "cls", "grp", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("tx"), F.pmod(F.xxhash64("cls", F.lit(2)), F.col("ny")).cast("int").alias("ty"))
+    tiles = x.unionByName(y).select(F.xxhash64("block", "tx", "ty").alias("tile"), "cls", "grp").distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for _, rows in grouped(batches, 1):
-            cls = sorted({r[1] for r in rows})
-            text = {r[1]: r[2] for r in rows}
-            block = Block([shingle(text[c]) for c in cls], threshold)
-            block._exact(np.arange(len(cls)))
-            yield _edges([(cls[i], cls[r]) for i in range(len(cls)) if (r := block.find(i)) != i])
-
-    parts = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    texts = tiles.join(members.select("cls", "text"), "cls").select("tile", "side", "cls", "text")
-    return direct.unionByName(texts.repartition(int(parts), "tile").sortWithinPartitions("tile").mapInArrow(compare, EDGES))
+            rows = sorted({r[0]: r for r in rows}.values())
+            block = Block([shingle(r[2]) for r in rows], t)
+            first: dict[int, int] = {}
+            for i, r in enumerate(rows):
+                block.union(first.setdefault(r[1], i), i)
+            block._exact(np.arange(len(rows)))
+            yield _edges([(rows[i][0], rows[k][0]) for i in range(len(rows)) if (k := block.find(i)) != i])
+
+    return with_texts(tiles, texts).select("tile", "cls", "grp", "text").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(compare, EDGES)
+
+
+def join_large(members: DataFrame, n: int, t: Fraction, limit: int, parts: int, pivots: int = 6, depth: int = 8) -> DataFrame:
+    """members: (block, cls, n_shingles, text) of blocks too large for a task. Edges (a, b)
+    with the same components as the links have.
+
+    Each turn measures the members against pivots of their block. Regions that hold at
+    most ``limit`` shingles are joined by a task each, larger ones take another turn with
+    pivots of their own. Where the windows would more than double a block, pivots
+    don't separate it, and it is compared in tiles instead."""
+    texts = members.select("cls", "text")
+    now = members.select("block", "cls", "n_shingles")
+    links, found = [], []
+    for turn in range(depth):
+        told = measure(now, texts, n, t, limit, parts, pivots, turn)
+        links.append(told.where("pivot is not null").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        # Who is linked to a pivot is in the pivot's group.
+        reached = links[0]
+        for x in links[1:]:
+            reached = reached.unionByName(x)
+        group = connected(reached).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
+        known = now.join(group, "cls", "left").select("block", "cls", "n_shingles", F.coalesce("grp", "cls").alias("grp"))
+        whole = known.groupBy("block").agg(F.sum("n_shingles").alias("whole"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1")
+        placed = told.where("region >= 0").select("block", "region", "cls").join(known, ["block", "cls"])
+        regions = placed.groupBy("block", "region").agg(F.sum("n_shingles").alias("every"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        spread = regions.groupBy("block").agg(F.sum("every").alias("spread"), F.max("every").alias("widest"))
+        state = materialise(whole.join(spread, "block").select("block", ((F.col("spread") <= 2 * F.col("whole")) & (F.col("widest") < F.col("whole"))).alias("parted")))
+        if state.isEmpty():
+            break
+        stuck = state.where(~F.col("parted") | F.lit(turn == depth - 1)).select("block")
+        if not stuck.isEmpty():
+            found.append(tile_join(known.join(stuck, "block"), texts, n, t, limit // 4, parts))
+        if turn == depth - 1:
+            break
+        going = regions.where("low <> high").join(state.where("parted").select("block"), "block").select("block", "region", "every")
+        deeper = materialise(placed.join(going, ["block", "region"]).select(F.xxhash64("block", "region", F.lit(turn)).alias("block"), "cls", "n_shingles", "every"))
+        leaves = deeper.where(F.col("every") <= limit)
+        if not leaves.isEmpty():
+            found.append(join_small(with_texts(leaves, texts).select("block", "cls", "text"), n, t, parts))
+        now = deeper.where(F.col("every") > limit).select("block", "cls", "n_shingles")
+        if now.isEmpty():
+            break
+    for x in found + links[1:]:
+        links[0] = links[0].unionByName(x)
+    return links[0]
 
 
 def representatives(members: DataFrame, n: int) -> DataFrame:
@@ -487,38 +690,59 @@ def representatives(members: DataFrame, n: int) -> DataFrame:
     return members.mapInArrow(run, members.schema)
 
 
-def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_shingles: int = 4_000_000) -> DataFrame:
+def light(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A materialised side of a few long columns: sent to all if it has at most ``most``
+    rows (some 20 MB), else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_shingles: int = 1_000_000, bucket_tokens: int = 250_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; component_id is the
     least doc_id reachable by links."""
     spark: SparkSession = docs.sparkSession
     t = Fraction(threshold)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = materialise(classes(plain, n))
-    owners = known.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-
-    # About 200,000 signatures a bucket.
-    shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(8, int(shingles * float(1 - t) * 3 / 200_000))
-    candidates = candidate_edges(plain.where("doc_id is not null"), n, t, buckets, parts)
+    # About a shingle for six bytes, of which slack and losses are shown.
+    shingles = (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    buckets = max(8, int(shingles * (float(1 - t) + 1 / 16) / bucket_tokens))
+    told = scan(plain, n, t, buckets, parts)
+    known = unpacked(told, "docs", ["has_id", "id", "n_shingles", "cls"]).select(F.when(F.col("has_id") == 1, F.col("id")).alias("doc_id"), "n_shingles", "cls")
+    owners = known.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("doc_id").alias("copies"))
+
+    pairs = unpacked(told, "pairs", ["a", "b", "c", "need"]).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+    hot = materialise(unpacked(told, "hot", ["cls", "size", "h"]).groupBy("cls").agg(F.max("size").alias("size"), F.sum("h").alias("h")))
+    if hot.isEmpty():
+        candidates = pairs.where("c >= need").select("a", "b")
+    else:
+        for x in ("a", "b"):
+            pairs = pairs.join(hot.select(F.col("cls").alias(x), F.col("h").alias(f"h{x}")), x, "left")
+        close = pairs.where("c + least(coalesce(ha, 0), coalesce(hb, 0)) >= need").select("a", "b")
+        # The least that a link of the class needs, whose smaller set has at least ``t`` of its size.
+        least = F.expr(f"(size * {t.numerator} + {t.denominator - 1}) div {t.denominator}")
+        need = F.least(F.expr(f"(least_size * {t.numerator} + {t.denominator - 1}) div {t.denominator}"), F.expr("16 + least_size div 16"))
+        crowded = hot.withColumn("least_size", least).where(F.col("h") >= need).select("cls")
+        signing = materialise(owners.join(crowded, "cls").where("rep is not null").select(F.col("rep").alias("doc_id")))
+        signed = candidate_edges(plain.join(light(signing), "doc_id", "left_semi"), n, t, buckets, parts)
+        candidates = close.unionByName(signed)
     blocks = connected(candidates).select(F.col("node").alias("cls"), F.col("root").alias("block"))
-    placed = materialise(owners.join(blocks, "cls").where("rep is not null"))
+    placed = materialise(owners.join(blocks, "cls").where("rep is not null").select("block", "cls", "n_shingles", F.col("rep").alias("doc_id")))
+    members = plain.join(light(placed), "doc_id").select("block", "cls", "n_shingles", "text")
     large = placed.groupBy("block").agg(F.sum("n_shingles").alias("amount")).where(F.col("amount") > block_shingles).select("block")
-    members = placed.join(plain, placed["rep"] == plain["doc_id"]).select("block", "cls", "n_shingles", "text")
 
     if large.isEmpty():
         edges = join_small(members.select("block", "cls", "text"), n, t, parts)
     else:
         small = members.join(large, "block", "left_anti").select("block", "cls", "text")
         big = materialise(representatives(members.join(large, "block", "left_semi"), n).dropDuplicates(["cls"]))
-        edges = join_small(small, n, t, parts).unionByName(join_large(big, n, t, block_shingles // 4))
+        edges = join_small(small, n, t, parts).unionByName(join_large(big, n, t, block_shingles, parts))
         edges = connected(edges).select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     # Links lead from a class to the root of its group; the group's id is its least document.
     roots = materialise(edges)
-    grouped_ = owners.join(roots, owners["cls"] == roots["a"], "left").select("cls", "rep", F.coalesce("b", "cls").alias("root"))
-    least = grouped_.groupBy("root").agg(F.min("rep").alias("component"))
-    found = grouped_.join(least, "root").select("cls", "component")
-    return known.join(found, "cls", "left").select(
+    grouped_ = owners.join(roots, owners["cls"] == roots["a"], "left").select("cls", "rep", "copies", F.col("a").isNotNull().alias("moved"), F.coalesce("b", "cls").alias("root"))
+    least_ = grouped_.groupBy("root").agg(F.min("rep").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
+    found = materialise(grouped_.join(least_, "root").select("cls", "component"))
+    return known.join(light(found), "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
 
@@ -531,7 +755,9 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8", **options) ->
     if odd.isEmpty():
         key, keyed = "doc_id", docs
     else:
-        key, keyed = "row_key", number_rows(docs, [doc_id.asc_nulls_last(), F.col("text").cast("string")], "row_key")
+        key = unused(docs, "row_key")
+        keyed = number_rows(docs, [doc_id.asc_nulls_last(), F.col("text").cast("string")], key)
     groups = jaccard_groups(keyed.select(F.col(key).alias("doc_id"), "text"), n, threshold, **options)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id"))
-    return keyed.join(gone, F.col(key).cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    out = unused(keyed, "gone_id")
+    gone = materialise(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(out)))
+    return keyed.join(light(gone), F.col(key).cast("long") == F.col(out), "left_anti").select(*docs.columns)
