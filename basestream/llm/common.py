@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -16,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where
-    it is unset (local tests) is a temporary folder used."""
+    it is unset and Spark runs in one process (local tests) is a temporary folder used."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="basestream-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -32,6 +37,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of at most ``rows`` texts between the JVM and Python, where the session
+    doesn't set a number: Spark's 10,000 texts take some 100 MB a task on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(rows))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -40,6 +53,33 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker gives free memory back to the system: idle workers
+    stay for a while, and several of them stand beside each executor."""
+
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return outer
+
+
+def beside(df: DataFrame, step: Callable[[DataFrame], DataFrame], names: Iterable[str]) -> DataFrame:
+    """The columns of ``df`` after ``step``, in their order; those called like one of
+    ``names``, which ``step`` gives to columns of its own, pass through unchanged."""
+    taken = {n.lower() for n in names}
+    held: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in taken:
+            held[c] = unused(df, f"kept_{len(held)}_{c}")
+    done = step(df.withColumnsRenamed(held))
+    return done.select(*[F.col("`" + held.get(c, c).replace("`", "``") + "`").alias(c) for c in df.columns])
+
+
 def with_columns_arrow(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
@@ -48,6 +88,7 @@ def with_columns_arrow(
 ) -> DataFrame:
     """Append (or replace) columns computed from whole Arrow batches; the other
     columns pass through untouched. A clashing column is replaced."""
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in new and f.name not in drop]
     schema = T.StructType(kept + fields)
@@ -64,7 +105,7 @@ def with_columns_arrow(
                 names=names + added,
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
 
 
 def texts(b: pa.RecordBatch, name: str = "text") -> list:

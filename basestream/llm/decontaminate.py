@@ -4,16 +4,17 @@ The automaton is built over the word sequences of all test items. A document's
 words stream through it; the longest match ending at each word tells which
 windows (``window`` consecutive item words, or a whole shorter item) occur.
 
-The test set is read in blocks of at most ``block_words`` words, each block one
-automaton whose size is bounded by that parameter (at most two states a word),
-so what is broadcast never grows with the corpus, nor past the bound with the
-test set: more items mean more blocks, each a pass over all documents, whose
-hits are merged per document afterwards.
+The test set is read in blocks of at most ``block_words`` words (a longer item is a
+block of its own), each block one automaton of at most two states a word, so what is
+broadcast never grows with the corpus, nor past the bound with the test set: more items
+mean more blocks, each a pass over all documents that merges its hits with those
+found before, written to the shared folder in between.
 
 Defined cases: null and empty texts have no words; items without words are
 never found; repeated items each count under their own id; rows of ``docs`` are
-judged one by one, so repeated ids keep their rows; an empty test set marks
-nothing; columns named like an output are replaced.
+judged one by one, so repeated or null ids keep their rows; texts of any length are
+streamed whole; an empty test set marks nothing; no rows give no rows. Of columns named
+like an output, ``scan_documents`` replaces them and ``remove_spans`` keeps them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basestream.llm.common import with_columns_arrow
+from basestream.llm.common import beside, materialise, with_columns_arrow
 
 #: Bytes of a word after A-Z are lower-cased: 0-9, a-z and all of non-ASCII.
 FOLD = bytes(
@@ -177,19 +178,20 @@ def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
-    """One automaton per block of items; the driver holds one block at a time."""
+def blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[tuple[object, list[bytes]]], bool]]:
+    """Items in blocks of at most ``block_words`` words, or of one longer item, and
+    whether the block is the last."""
     block: list[tuple[object, list[bytes]]] = []
     size = 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(r["text"])
         if size + len(words) > block_words and block:
-            yield SuffixAutomaton(block, window)
+            yield block, False
             block, size = [], 0
         block.append((r["item_id"], words))
         size += len(words)
     if block:
-        yield SuffixAutomaton(block, window)
+        yield block, True
 
 
 ADDED = [
@@ -199,15 +201,27 @@ ADDED = [
 ]
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """``docs`` plus n_words, hit_spans (word intervals [from, to)) and hit_items (sorted)."""
+def without(text: str, spans: list) -> str:
+    """``text`` without the word intervals, each cut from its first word to its last."""
+    at = [m.span() for m in WORD.finditer(text)]
+    parts, last = [], 0
+    for a, z in spans:
+        parts.append(text[last : at[a][0]])
+        last = at[z - 1][1]
+    return "".join([*parts, text[last:]])
 
-    def once(df: DataFrame, shared, first: bool) -> DataFrame:
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 250_000, cut: bool = False) -> DataFrame:
+    """``docs`` plus n_words, hit_spans (word intervals [from, to)) and hit_items (sorted);
+    with ``cut``, ``text`` loses the spans. An automaton of ``block_words`` words takes
+    some 180 MB; one block needs one pass, and of more blocks a pass holds one."""
+
+    def once(df: DataFrame, shared, first: bool, last: bool) -> DataFrame:
         def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
             col = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()
             auto = shared.value if shared is not None else None
             old = None if first else list(zip(col("hit_spans"), col("hit_items")))
-            n_words, spans, items = [], [], []
+            n_words, spans, items, rest = [], [], [], []
             for i, text in enumerate(col("text")):
                 words = words_of(text)
                 hits, found = auto.scan(words) if auto is not None and words else ([], set())
@@ -218,19 +232,26 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                 n_words.append(len(words))
                 spans.append([list(h) for h in hits])
                 items.append(sorted(names))
-            return {
+                if cut and last:
+                    rest.append(without(text, hits) if hits else text)
+            done = {
                 "n_words": pa.array(n_words, pa.int64()),
                 "hit_spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 "hit_items": pa.array(items, pa.list_(pa.string())),
             }
+            return done | ({"text": pa.array(rest, pa.string())} if cut and last else {})
 
-        return with_columns_arrow(df, run, ADDED)
+        return with_columns_arrow(df, run, ADDED + [T.StructField("text", T.StringType())] * (cut and last))
 
     out, first = docs, True
-    for auto in blocks(benchmark, window, block_words):
-        out = once(out, docs.sparkSession.sparkContext.broadcast(auto), first)
+    for block, last in blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+        out = once(out, shared, first, last)
+        if not last:
+            out = materialise(out)
+            shared.unpersist()
         first = False
-    return once(docs, None, True) if first else out
+    return once(docs, None, True, True) if first else out
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -244,33 +265,19 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 250_000) -> DataFrame:
     """``docs`` without contaminated spans. A document whose hit words pass
     ``max_coverage`` of its words goes; in the others every hit span is cut out,
     from its first word to its last. Documents without a hit stay as they are."""
-    fields = docs.schema.fields
-    scanned = scan_documents(docs, benchmark, window, block_words)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
-    kept = scanned.where(hit <= F.col("n_words") * max_coverage)
-
-    def cut(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        col = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()
-        out = []
-        for text, spans in zip(col("text"), col("hit_spans")):
-            if spans:
-                at = [m.span() for m in WORD.finditer(text)]
-                parts, last = [], 0
-                for a, z in spans:
-                    parts.append(text[last : at[a][0]])
-                    last = at[z - 1][1]
-                text = "".join([*parts, text[last:]])
-            out.append(text)
-        return {"text": pa.array(out, pa.string())}
-
-    done = with_columns_arrow(kept, cut, [T.StructField("text", T.StringType())], drop=("n_words", "hit_spans", "hit_items"))
-    if any(f.name == "n_chars" for f in fields):
+
+    def clean(df: DataFrame) -> DataFrame:
+        return scan_documents(df, benchmark, window, block_words, cut=True).where(hit <= F.col("n_words") * max_coverage)
+
+    done = beside(docs, clean, [f.name for f in ADDED])
+    if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    return done.select(*[f.name for f in fields if f.name in done.columns])
+    return done
 
 
 def items_digest(names: list[str]) -> str:

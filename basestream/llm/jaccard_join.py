@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basestream.llm.common import materialise, unused
+from basestream.llm.common import materialise, returning, small_batches, unused
 from basestream.operators.ordering import number_rows
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -278,14 +278,14 @@ def forest(edges: DataFrame, most: int = 200_000) -> DataFrame:
                 seen = 0
         yield _edges([(i, r) for i in list(up) if (r := find(i)) != i])
 
-    return edges.select("a", "b").mapInArrow(run, EDGES)
+    return edges.select("a", "b").mapInArrow(returning(run), EDGES)
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the least node it reaches.
     Alternates linking larger neighbours and own neighbours to the least one seen;
     every round is a few grouped shuffles, without a list of any node's neighbours."""
-    now = materialise(forest(edges).distinct())
+    now = materialise(forest(materialise(edges.select("a", "b"))).distinct())
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
@@ -433,8 +433,8 @@ def scan(docs: DataFrame, n: int, t: Fraction, buckets: int, parts: int, most_do
                 out += [(None, x, None) for x in packed(pairs)] + [(None, None, x) for x in packed(hot)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(3)], names=["docs", "pairs", "hot"])
 
-    shows = docs.mapInArrow(show, "bucket int, tokens binary, own binary, names binary, sizes binary, docs binary")
-    return materialise(shows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "docs binary, pairs binary, hot binary"))
+    shows = docs.mapInArrow(returning(show), "bucket int, tokens binary, own binary, names binary, sizes binary, docs binary")
+    return materialise(shows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(returning(meet), "docs binary, pairs binary, hot binary"))
 
 
 def unpacked(told: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -447,7 +447,7 @@ def unpacked(told: DataFrame, column: str, names: list[str]) -> DataFrame:
                 got = got.reshape(-1, len(names)).T if column == "docs" else got.reshape(len(names), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in got], names=names)
 
-    return told.select(column).where(F.col(column).isNotNull()).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return told.select(column).where(F.col(column).isNotNull()).mapInArrow(returning(run), ", ".join(f"{x} long" for x in names))
 
 
 def stars(sigs: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -505,8 +505,8 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction, buckets: int,
                     p = np.frombuffer(r[3], np.int64).reshape(2, -1)
                     yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
-    packed = docs.select("text").mapInArrow(sign_batches, "bucket int, sigs binary, own binary, names binary, pairs binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, EDGES).distinct()
+    packed = docs.select("text").mapInArrow(returning(sign_batches), "bucket int, sigs binary, own binary, names binary, pairs binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(returning(meet), EDGES).distinct()
 
 
 def class_of(s: np.ndarray) -> int:
@@ -557,7 +557,7 @@ def join_small(members: DataFrame, n: int, threshold: Fraction, parts: int) -> D
                 out = []
         yield _edges(out)
 
-    return members.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, EDGES)
+    return members.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(returning(run), EDGES)
 
 
 def with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -601,7 +601,7 @@ def measure(members: DataFrame, texts: DataFrame, n: int, t: Fraction, limit: in
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["block", "cls", "pivot", "region"])
 
     both = heads.unionByName(dealt).repartition(parts, "block", "share").sortWithinPartitions("block", "share", "kind")
-    return materialise(both.mapInArrow(run, "block long, cls long, pivot long, region int"))
+    return materialise(both.mapInArrow(returning(run), "block long, cls long, pivot long, region int"))
 
 
 def tile_join(members: DataFrame, texts: DataFrame, n: int, t: Fraction, tile_shingles: int, parts: int) -> DataFrame:
@@ -628,7 +628,7 @@ def tile_join(members: DataFrame, texts: DataFrame, n: int, t: Fraction, tile_sh
             block._exact(np.arange(len(rows)))
             yield _edges([(rows[i][0], rows[k][0]) for i in range(len(rows)) if (k := block.find(i)) != i])
 
-    return with_texts(tiles, texts).select("tile", "cls", "grp", "text").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(compare, EDGES)
+    return with_texts(tiles, texts).select("tile", "cls", "grp", "text").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(returning(compare), EDGES)
 
 
 def join_large(members: DataFrame, n: int, t: Fraction, limit: int, parts: int, pivots: int = 6, depth: int = 8) -> DataFrame:
@@ -687,7 +687,7 @@ def representatives(members: DataFrame, n: int) -> DataFrame:
             text = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([class_of(shingle(t)) == c for c, t in zip(cls, text)], pa.bool_()))
 
-    return members.mapInArrow(run, members.schema)
+    return members.mapInArrow(returning(run), members.schema)
 
 
 def light(df: DataFrame, most: int = 500_000) -> DataFrame:
@@ -700,6 +700,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_sh
     """(doc_id, n_shingles, component_id) of every row of ``docs``; component_id is the
     least doc_id reachable by links."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     t = Fraction(threshold)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

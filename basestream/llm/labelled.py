@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basestream.llm.common import returning
+
 
 def crc_rest(mod: int):
     """crc32 of the id's decimal text modulo ``mod``; null ids give null."""
@@ -51,5 +53,5 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list[tuple]], bytes]) -> byt
         got.sort(key=lambda r: r[0])
         yield pa.RecordBatch.from_arrays([pa.array([fit(got)], pa.binary())], names=["model"])
 
-    found = rows.select("label_id", "text", "label_value").repartition(1).mapInArrow(run, "model binary").collect()
+    found = rows.select("label_id", "text", "label_value").repartition(1).mapInArrow(returning(run), "model binary").collect()
     return bytes(found[0]["model"]) if found else fit([])

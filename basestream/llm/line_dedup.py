@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basestream.llm.common import materialise, with_columns_arrow
+from basestream.llm.common import materialise, returning, small_batches, with_columns_arrow
 
 STRIP = "\t\n\x0b\x0c\r "
 SLOTS = 4
@@ -187,7 +187,8 @@ def line_pairs(docs: DataFrame, min_chars: int, probe=None) -> DataFrame:
                 keys, ids = [k for k, _ in kept], [i for _, i in kept]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PAIRS)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returning(run), PAIRS)
 
 
 class LineStore:
@@ -266,7 +267,7 @@ class LineStore:
                     names=["shard", "filter"],
                 )
 
-            built = self.repeated.select("key", _shard(n).alias("s")).repartition(n, "s").select("key").mapInArrow(build, "shard int, filter binary")
+            built = self.repeated.select("key", _shard(n).alias("s")).repartition(n, "s").select("key").mapInArrow(returning(build), "shard int, filter binary")
             self._filters = n, materialise(built)
         return self._filters
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basestream.llm.common import returning
+
 SCHEMA = (
     "bin_id string, doc_id long, piece int, n_pieces int, first_token long, n_tokens long, "
     "bin_offset long, bin_tokens long, source string, cluster string"
@@ -137,4 +139,4 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, max_per_source: int =
         if rows:
             yield done(now, rows)
 
-    return shards.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, SCHEMA)
+    return shards.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(returning(run), SCHEMA)

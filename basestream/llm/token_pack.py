@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basestream.llm.common import returning
+
 #: The pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -156,7 +158,7 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = 20
         if got:
             yield from done(now, got)
 
-    return shards.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, SCHEMA)
+    return shards.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(returning(run), SCHEMA)
 
 
 def unpack(rows: list[tuple]) -> dict:
