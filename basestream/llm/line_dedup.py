@@ -8,15 +8,21 @@ State
     count to the threshold and leaves it when a deletion takes it below, which a
     Bloom filter could not do.
 
+Insertions and deletions group only the pairs they bring or take; the counts of
+other keys are carried over, and only keys that lose the document that kept their line
+look for another one among the pairs.
+
 Every line of a document probes its shard's filter; only hits (a superset of
 the repeated lines) go on to the exact table, so a false positive costs one
-looked-up row and never changes a result. Filters are broadcast only while
-their measured total stays under ``max_broadcast_bytes``; beyond it every key
-goes to the exact join, which Spark splits where a key is hot.
-
-Defined cases: null or empty text is one empty line; rows that share a doc_id
-are one document; a null doc_id counts as one document that never keeps a line
-others hold; columns named like an output are replaced; no rows give no rows.
+looked-up row and never changes a result. Filters are broadcast while
+their measured total stays under ``max_broadcast_bytes``; beyond it the keys go to their
+shards' filters instead, each shard's lines dealt over ``SALTS`` tasks, so that a
+frequent line doesn't fill one.
+
+Defined cases: null or empty text is one empty line; texts and lines of any length are
+taken whole; rows that share a doc_id are one document; a null doc_id counts as one
+document that never keeps a line others hold; columns named like an output (text,
+n_lines, n_dropped, kept_sha256) are replaced, all others pass through; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basestream.llm.common import materialise, returning, small_batches, with_columns_arrow
+from basestream.llm.common import materialise, returning, small_batches, unused, with_columns_arrow
 
+#: Tasks over which the lines of one shard are dealt.
+SALTS = 16
 STRIP = "\t\n\x0b\x0c\r "
 SLOTS = 4
 
@@ -191,16 +199,18 @@ def line_pairs(docs: DataFrame, min_chars: int, probe=None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returning(run), PAIRS)
 
 
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc"))
+
+
 class LineStore:
     """Reference counts and filters of a corpus; insertions and deletions of whole documents."""
 
-    def __init__(self, pairs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_keys: int = 100_000, max_broadcast_bytes: int = 64 << 20):
+    def __init__(self, pairs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_keys: int = 100_000, max_broadcast_bytes: int = 64 << 20, counts: DataFrame | None = None):
         self.min_chars, self.min_docs = min_chars, min_docs
         self.shard_keys, self.max_broadcast_bytes = shard_keys, max_broadcast_bytes
         self.pairs = pairs
-        self.counts = materialise(
-            pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc"))
-        )
+        self.counts = materialise(_counted(pairs) if counts is None else counts)
         self._filters = None
 
     @classmethod
@@ -211,13 +221,28 @@ class LineStore:
         return {"min_chars": self.min_chars, "min_docs": self.min_docs, "shard_keys": self.shard_keys, "max_broadcast_bytes": self.max_broadcast_bytes}
 
     def insert(self, docs: DataFrame) -> LineStore:
-        return LineStore(materialise(self.pairs.unionByName(line_pairs(docs, self.min_chars)).distinct()), **self._options())._carry(self)
+        """With the documents of ``docs``; lines that a document is known to hold add nothing."""
+        came = line_pairs(docs, self.min_chars).distinct()
+        held = self.pairs.select(F.col("key").alias("old_key"), F.col("doc_id").alias("old_doc"))
+        new = materialise(came.join(held, (F.col("key") == F.col("old_key")) & F.col("doc_id").eqNullSafe(F.col("old_doc")), "left_anti"))
+        more = _counted(new).select("key", F.col("n_docs").alias("more"), F.col("keep_doc").alias("other"))
+        counts = self.counts.join(more, "key", "full").select(
+            "key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keep_doc", "other").alias("keep_doc")
+        )
+        return LineStore(materialise(self.pairs.unionByName(new)), counts=counts, **self._options())._carry(self)
 
     def delete(self, docs: DataFrame) -> LineStore:
         """Without the documents whose ids ``docs`` holds: the state as if they had never come."""
         gone = docs.select(F.col("doc_id").cast("long").alias("gone")).distinct()
-        left = self.pairs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-        return LineStore(materialise(left), **self._options())._carry(self)
+        match = F.col("doc_id").eqNullSafe(F.col("gone"))
+        left = materialise(self.pairs.join(gone, match, "left_anti"))
+        less = _counted(self.pairs.join(gone, match, "left_semi")).select("key", F.col("n_docs").alias("less"), F.col("keep_doc").alias("lost"))
+        now = self.counts.join(less, "key", "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("less", F.lit(0))).where("n_docs > 0")
+        # The greatest document that goes is the one that kept the line, or it keeps it.
+        now = now.withColumn("orphan", F.coalesce(F.col("lost") == F.col("keep_doc"), F.lit(False)))
+        orphans = left.join(now.where("orphan").select("key"), "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("heir"))
+        counts = now.join(orphans, "key", "left").select("key", "n_docs", F.when(F.col("orphan"), F.col("heir")).otherwise(F.col("keep_doc")).alias("keep_doc"))
+        return LineStore(left, counts=counts, **self._options())._carry(self)
 
     def _carry(self, old: LineStore) -> LineStore:
         """Take over the filters of ``old``: keys whose count crossed the threshold are
@@ -280,11 +305,47 @@ class LineStore:
         rows = [(r["shard"], bytes(r["filter"])) for r in parts.collect()]
         return parts.sparkSession.sparkContext.broadcast((rows, n))
 
+    def _by_shard(self, lines: DataFrame) -> DataFrame:
+        """``lines`` (key, doc_id) that their shard's filter holds, without a broadcast: a
+        shard's filter goes before the lines dealt to each of its ``SALTS`` tasks."""
+        n, parts = self.filters()
+        heads = parts.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.col("filter").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+        dealt = lines.select(_shard(n).alias("shard"), F.pmod(F.xxhash64("key", "doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "doc_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, None
+            for b in batches:
+                keys, ids = [], []
+                rows = list(zip(*(b.column(i).to_pylist() for i in range(5))))
+                at = 0
+                while at < len(rows):
+                    shard, salt, kind, key, _ = rows[at]
+                    if kind == 0:
+                        now, held = (shard, salt), CuckooFilter.load(key)
+                        at += 1
+                        continue
+                    end = at
+                    while end < len(rows) and rows[end][:3] == (shard, salt, 1):
+                        end += 1
+                    if (shard, salt) == now:
+                        hit = held.contains([r[3] for r in rows[at:end]])
+                        keys += [r[3] for r, ok in zip(rows[at:end], hit) if ok]
+                        ids += [r[4] for r, ok in zip(rows[at:end], hit) if ok]
+                    at = end
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+
+        width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = heads.unionByName(dealt).repartition(width, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+        return both.mapInArrow(returning(run), PAIRS)
+
     def drops(self, docs: DataFrame) -> DataFrame:
-        """(drop_id, drop_keys): the keys each document must give up."""
-        lines = line_pairs(docs, self.min_chars, self.probe())
+        """(doc_id, keys): the keys each document must give up."""
+        probe = self.probe()
+        lines = line_pairs(docs, self.min_chars, probe)
+        if probe is None:
+            lines = self._by_shard(lines)
         hit = lines.join(self.repeated.select("key", "keep_doc"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
-        return hit.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop_keys"))
+        return hit.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, store: LineStore | None = None, **options) -> DataFrame:
@@ -292,14 +353,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, store:
     kept_sha256. A key of at least ``min_chars`` code points held by at least
     ``min_docs`` documents stays only in the largest doc_id that holds it."""
     store = store or LineStore.of(docs, min_chars, min_docs=min_docs, **options)
-    drops = store.drops(docs)
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
+    gone_id, gone_keys = unused(docs, "drop_id"), unused(docs, "drop_keys")
+    drops = store.drops(docs).select(F.col("doc_id").alias(gone_id), F.col("keys").alias(gone_keys))
+    joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)), "left").drop(gone_id)
     least = store.min_chars
 
     def rebuild(b: pa.RecordBatch) -> dict[str, pa.Array]:
         out: dict[str, list] = {"text": [], "n_lines": [], "n_dropped": [], "kept_sha256": []}
         col = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()
-        for text, gone in zip(col("text"), col("drop_keys")):
+        for text, gone in zip(col("text"), col(gone_keys)):
             lines = (text or "").split("\n")
             if gone:
                 gone = set(gone)
@@ -320,7 +382,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, store:
         T.StructField("n_dropped", T.LongType()),
         T.StructField("kept_sha256", T.StringType()),
     ]
-    return with_columns_arrow(joined, rebuild, fields, drop=("drop_keys",))
+    return with_columns_arrow(joined, rebuild, fields, drop=(gone_keys,))
 
 
 SQL = r"""

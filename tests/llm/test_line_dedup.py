@@ -37,6 +37,26 @@ def test_many_shards(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in got} == {d: v[1] for d, v in brute(docs).items()}
 
 
+def test_filters_beyond_the_broadcast_bound(spark):
+    docs = documents(4, 90)
+    store = L.LineStore.of(frame(spark, docs), shard_keys=1, max_broadcast_bytes=0)
+    assert store.probe() is None and store.filters()[0] > 1
+    got = L.dedup_lines(frame(spark, docs), store=store).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {d: v[1] for d, v in brute(docs).items()}
+    thinned = store._by_shard(L.line_pairs(frame(spark, docs), 20))
+    assert {bytes(r["key"]) for r in thinned.collect()} >= {bytes(r["key"]) for r in store.repeated.collect()}
+    assert thinned.count() < store.pairs.count()
+
+
+def test_deletion_of_the_keeper(spark):
+    docs = documents(4, 90)
+    rows = lambda s: sorted((bytes(r["key"]), r["n_docs"], r["keep_doc"]) for r in s.counts.collect())
+    gone = [d for d in docs if d[0] is not None and d[0] % 4 == 1] + [d for d in docs if d[0] > 80]
+    left = [d for d in docs if d not in gone]
+    assert rows(L.LineStore.of(frame(spark, docs)).delete(frame(spark, gone))) == rows(L.LineStore.of(frame(spark, left)))
+    assert rows(L.LineStore.of(frame(spark, left)).insert(frame(spark, docs[:50]))) == rows(L.LineStore.of(frame(spark, left + [d for d in docs[:50] if d not in left])))
+
+
 def test_insert_then_delete_is_the_state_before(spark):
     docs = documents()
     old, new = frame(spark, docs[:40]), frame(spark, docs[40:])
@@ -82,7 +102,7 @@ def test_cuckoo_filter():
 
 def test_empty_and_clashing_columns(spark):
     assert L.dedup_lines(empty(spark)).count() == 0
-    df = frame(spark).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "drop_id2")
+    df = frame(spark).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "drop_id").withColumnRenamed("n_chars", "drop_keys")
     got = L.dedup_lines(df)
     assert dict(got.dtypes)["n_lines"] == "bigint" and got.count() == df.count()
     twice = frame(spark, [(1, "x" * 30, "", "", 1)] * 5 + [(None, "x" * 30, "", "", 1)])
