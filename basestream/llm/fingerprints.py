@@ -8,8 +8,9 @@ has at most k shingles), containment and the number of distinct shingles.
 
 Defined cases: null is the empty text, whose sketch is empty; two empty sketches
 resemble each other by 1, an empty and another one by 0; equal texts have equal
-sketches; rows that repeat an id stand next to each other in the order of documents,
-rows without an id come last; no rows give no rows.
+sketches; texts of any length are sketched whole; rows that repeat an id stand next to
+each other in the order of documents, rows without an id come last (in one range of
+their own); other columns than doc_id and text don't matter; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -86,27 +87,50 @@ def _bucket(value: Column, bounds: list[int], low: int = 0) -> Column:
     return F.when(value < F.lit(bounds[mid]), _bucket(value, bounds[mid + 1 :], low + mid + 1)).otherwise(_bucket(value, bounds[:mid], low))
 
 
-def with_next(docs: DataFrame, most_buckets: int = 256, bucket_rows: int = 4000) -> DataFrame:
+#: Literal cuts of the ids' range, and range ends that are broadcast, at most.
+MOST_CUTS, LIGHT_ENDS = 256, 200_000
+
+
+def _ranges(ids: DataFrame, rows: int, bucket_rows: int) -> Column:
+    """A number for each doc_id that grows as the id falls, for ranges of about
+    ``bucket_rows`` documents at any size: quantiles cut the ids at most ``MOST_CUTS`` times,
+    and every such piece is cut evenly. Rows without an id are the last range."""
+    n = max(1, rows // bucket_rows)
+    coarse = min(MOST_CUTS, n)
+    fine = -(-n // coarse)
+    known = ids.where("doc_id is not null")
+    ends = known.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if ends[0] is None:
+        return F.lit(0).cast("long")
+    cuts = sorted({int(q) for q in known.approxQuantile("doc_id", [i / coarse for i in range(1, coarse)], 0.1 / coarse)}, reverse=True) if coarse > 1 else []
+    piece = _bucket(F.col("doc_id"), cuts)
+    if fine == 1:
+        return F.coalesce(piece.cast("long"), F.lit(len(cuts) + 1).cast("long"))
+    top = F.element_at(F.array(*[F.lit(float(x)) for x in [ends[1] + 1, *cuts]]), piece + 1)
+    low = F.element_at(F.array(*[F.lit(float(x)) for x in [*cuts, ends[0]]]), piece + 1)
+    part = F.floor((top - F.col("doc_id")) / F.greatest(top - low, F.lit(1.0)) * fine)
+    return F.coalesce(piece.cast("long") * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1)), F.lit((len(cuts) + 1) * fine).cast("long"))
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 4000) -> DataFrame:
     """``docs`` (doc_id, text, sketch) with next_text and next_sketch, those of the next
     document in descending doc_id; after the last comes the first. The texts are
-    shuffled once: ids fall into ranges of about equal size, and each range is closed by
-    a copy of the document that follows it."""
+    shuffled once: ids fall into ranges of about equal size, whose number follows the
+    input, and each range is closed by a copy of the document that follows it."""
     ids = docs.select("doc_id")
     rows = ids.count()
-    n = min(most_buckets, max(1, rows // bucket_rows))
-    cuts = sorted({int(q) for q in ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}, reverse=True) if n > 1 else []
-    bucket = F.coalesce(_bucket(F.col("doc_id"), cuts), F.lit(len(cuts)))
-    firsts = sorted((r["b"], r["first"]) for r in ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("first")).collect())
-    spark = docs.sparkSession
-    after = [(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)]
-    closing = spark.range(1).select(
-        F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(f).cast("long").alias("first")) for b, f in after])).alias("x")
-    ).select("x.*") if after else spark.range(0).select(F.lit(0).alias("b"), F.col("id").alias("first"))
+    bucket = _ranges(ids, rows, bucket_rows)
+    # One row a range: its first document, and the first one of the next range.
+    firsts = ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("own"))
+    line = Window.orderBy("b")
+    closing = firsts.select("b", F.lead("own").over(line).alias("first"), F.lead("b").over(line).isNull().alias("last"), F.first("own").over(line).alias("top"))
+    closing = closing.select("b", F.when(F.col("last"), F.col("top")).otherwise(F.col("first")).alias("first"))
+    small = (lambda df: F.broadcast(df)) if rows // bucket_rows <= LIGHT_ENDS else (lambda df: df)
     tie = F.xxhash64("text")
-    # At most ``most_buckets`` documents, one a range (of equal ids, the first in order).
-    ends = docs.join(F.broadcast(closing.select(F.col("first").alias("f")).distinct()), F.col("doc_id").eqNullSafe(F.col("f")), "left_semi")
+    # One document a range (of equal ids, the first in order).
+    ends = docs.join(small(closing.select(F.col("first").alias("f")).distinct()), F.col("doc_id").eqNullSafe(F.col("f")), "left_semi")
     ends = ends.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(tie))).where("r = 1").drop("r")
-    copies = ends.join(F.broadcast(closing), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "b", F.lit(True).alias("closing"))
+    copies = ends.join(small(closing), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "b", F.lit(True).alias("closing"))
     every = docs.select("doc_id", "text", bucket.alias("b"), F.lit(False).alias("closing")).unionByName(copies)
     sketched = every.withColumn("sketch", sketch(F.col("text"))).withColumn("tie", tie)
     order = Window.partitionBy("b").orderBy(F.col("closing"), F.col("doc_id").desc_nulls_last(), F.col("tie"))
