@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basestream.llm.common import returning
+from basestream.llm.common import materialise, returning, small_batches
 
 
 def crc_rest(mod: int):
@@ -20,12 +20,16 @@ def held_out(mod: int, rest: int):
     return F.coalesce(crc_rest(mod) == rest, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, keep, bounds: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+def sample(
+    docs: DataFrame, labels: DataFrame, label: str, keep, bounds: dict[int, int], max_bytes: int = 96 << 20, max_text_bytes: int = 1 << 20
+) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, label) of at most about ``bounds[c]`` labelled rows of each
     class c, picked by a hash of the id among rows where ``keep`` holds, and the
     class counts over all such rows. Repeated labels of a document count once, by
-    the larger label; rows without a label or an id are left out. The picked ids
-    are broadcast: their number is bounded by ``bounds``."""
+    the larger label; rows without a label or an id are left out, and so are texts over
+    ``max_text_bytes``. Where the picked texts pass ``max_bytes`` together, a smaller share
+    of them is taken by the same hash. The picked ids are broadcast: their number is
+    bounded by ``bounds``."""
     rows = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep)
         .groupBy(F.col("doc_id").cast("long").alias("label_id"))
@@ -38,7 +42,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, keep, bounds: dict[in
         chosen = chosen | ((F.col("label_value") == c) & (F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
     picked = rows.where(chosen)
     fields = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
-    joined = fields.join(F.broadcast(picked), "label_id").groupBy("label_id", "label_value").agg(F.min("text").alias("text"))
+    fields = fields.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_text_bytes)
+    joined = materialise(fields.join(F.broadcast(picked), "label_id").groupBy("label_id", "label_value").agg(F.min("text").alias("text")))
+    size = joined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        joined = joined.where(F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1_000_000)) < int(max_bytes / size * 1_000_000))
     return joined, counts
 
 
@@ -46,6 +54,8 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list[tuple]], bytes]) -> byt
     """Fit on an executor from the bounded sample; only the model comes back.
     Rows are sorted first, so a repeated task gives the same model."""
 
+    small_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
         for b in batches:

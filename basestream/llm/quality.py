@@ -5,14 +5,20 @@ after; the chain labels each line good (1) or bad (0). Forward-backward gives ea
 line's probability of being good, and their mean weighted by line length is the
 document's score.
 
-Labels mark whole documents, so in fitting each line carries its document's label.
+Labels mark whole documents, the lines' labels are latent. Lines of good documents are
+good. Lines of bad documents begin as bad, without transitions; then, by turns, the chain's
+own marginals tell which of them are, held to at least ``bad_share`` of the document's length
+(the least common shift towards bad that reaches it), and chain and transitions are fitted
+to what they tell. So good lines of bad documents, and what follows them, are learnt as such.
+
 Fitting sees at most ``max_good`` and ``max_bad`` labelled texts, chosen by a hash
 of the id; this bound is a parameter. Scoring reads every text whole.
 
-Defined cases: null and empty texts are one empty line and get its marginal;
-without labels of both classes every score is 1 (nothing is called bad unless bad
-was shown); repeated rows are scored one by one; columns named like an output are
-replaced.
+Defined cases: null and empty texts are one empty line and get its marginal; texts of any
+length and number of lines are scored whole; without labels of both classes every score is
+1 (nothing is called bad unless bad was shown); repeated rows and rows without an id are
+scored one by one (none of the latter is learnt from or held out); columns named like an
+output are replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -99,63 +105,105 @@ def marginals(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def fit(rows: list[tuple], counts: dict[int, int], steps: int = 250, rate: float = 0.08, decay: float = 1e-3, span: int = 48) -> bytes:
-    """rows: (id, text, label). Maximum likelihood of the chains by Adam; chains
-    longer than ``span`` lines are cut into several for fitting only."""
+class Chains:
+    """Chains of one length, padded; forward-backward over all of them at once."""
+
+    def __init__(self, x: np.ndarray, lengths: np.ndarray):
+        self.x, self.lengths = x, lengths
+        self.live = np.arange(x.shape[1]) < lengths[:, None]
+
+    def __call__(self, w: np.ndarray, trans: np.ndarray, shift: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """P(line is good), and the expected number of each pair of neighbouring labels.
+        shift: of each chain, added to the log potential of bad."""
+        x, live, lengths = self.x, self.live, self.lengths
+        n, most = live.shape
+        u = np.zeros((n, most, 2))
+        u[:, :, 1] = x @ w
+        if shift is not None:
+            u[:, :, 0] = shift[:, None]
+        f, b = np.zeros_like(u), np.zeros_like(u)
+        f[:, 0] = u[:, 0]
+        for i in range(1, most):
+            f[:, i] = u[:, i] + np.logaddexp(f[:, i - 1, :1] + trans[0], f[:, i - 1, 1:] + trans[1])
+        for i in range(most - 2, -1, -1):
+            nxt = u[:, i + 1] + b[:, i + 1]
+            back = np.logaddexp(trans[:, 0][None] + nxt[:, :1], trans[:, 1][None] + nxt[:, 1:])
+            b[:, i] = np.where(live[:, i + 1, None], back, 0)
+        last = f[np.arange(n), lengths - 1]
+        z = np.logaddexp(last[:, 0], last[:, 1])
+        good = np.exp(np.minimum(f[:, :, 1] + b[:, :, 1] - z[:, None], 0)) * live
+        pair = f[:, :-1, :, None] + trans[None, None] + (u + b)[:, 1:, None, :] - z[:, None, None, None]
+        return good, (np.exp(np.minimum(pair, 0)) * live[:, 1:, None, None]).sum(1)
+
+    def latent(self, w: np.ndarray, trans: np.ndarray, sizes: np.ndarray, bad_share: float) -> tuple[np.ndarray, np.ndarray]:
+        """The same under the least shift by which ``bad_share`` of ``sizes`` is bad."""
+        low, high = np.zeros(len(sizes)), np.full(len(sizes), 24.0)
+        share = lambda good: ((1 - good) * sizes).sum(1)
+        high[share(self(w, trans, low)[0]) >= bad_share] = 0
+        for _ in range(10):
+            mid = (low + high) / 2
+            enough = share(self(w, trans, mid)[0]) >= bad_share
+            low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+        return self(w, trans, high)
+
+
+def fit(rows: list[tuple], counts: dict[int, int], steps: int = 250, rate: float = 0.08, decay: float = 1e-3, span: int = 48, turns: tuple[int, ...] = (80, 110, 140, 170, 200), bad_share: float = 0.5) -> bytes:
+    """rows: (id, text, label). Maximum likelihood of the chains by Adam, with latent line
+    labels told anew after the steps ``turns``; chains longer than ``span`` lines are cut
+    into several for fitting only."""
     n1, n0 = sum(r[2] == 1 for r in rows), sum(r[2] == 0 for r in rows)
     if not n1 or not n0:
         return pickle.dumps(None)
-    chains, labels, shares = [], [], []
+    chains, labels, shares, sizes = [], [], [], []
     for _, text, label in rows:
-        x, _ = document_features(text)
+        x, size = document_features(text)
         for at in range(0, len(x), span):
-            chains.append(x[at : at + span])
+            chains.append(x[at : at + span].astype(np.float32))
+            sizes.append(size[at : at + span])
             labels.append(label)
             shares.append(min(span, len(x) - at) / len(x))
     lengths = np.array([len(c) for c in chains])
-    most = int(lengths.max())
     y = np.array(labels)
     # Each document counts once, whatever its length; classes as in the corpus, bad ones at least a third.
     bad = max(counts[0] / (counts[0] + counts[1]), 1 / 3)
     weight = np.array(shares) * np.where(y == 1, (1 - bad) / n1, bad / n0)
-    x = np.zeros((len(chains), most, WIDTH), np.float32)
-    for i, c in enumerate(chains):
-        x[i, : len(c)] = c
-    mean, dev = x[lengths > 0, 0].mean(0), x.reshape(-1, WIDTH)[(np.arange(most) < lengths[:, None]).ravel()].std(0) + 1e-3
+    mean = np.mean([c[0] for c in chains], 0, np.float64)
+    dev = np.concatenate(chains).std(0, np.float64) + 1e-3
     mean[0], dev[0] = 0, 1
-    x = (x - mean) / dev
-    live = np.arange(most) < lengths[:, None]
-    x[~live] = 0
-    size = WIDTH + 4
-    p = np.zeros(size)
-    m1, m2 = np.zeros(size), np.zeros(size)
+    # Groups of chains of about one length, so that padding stays below their size.
+    groups = []
+    for low, high in ((1, 1), (2, 3), (4, 6), (7, 12), (13, 24), (25, span)):
+        at = np.flatnonzero((lengths >= low) & (lengths <= high))
+        if len(at):
+            most = int(lengths[at].max())
+            x, size = np.zeros((len(at), most, WIDTH), np.float32), np.zeros((len(at), most))
+            for k, i in enumerate(at):
+                x[k, : lengths[i]] = (chains[i] - mean) / dev
+                size[k, : lengths[i]] = sizes[i] / sizes[i].sum()
+            own = Chains(x, lengths[at])
+            pairs = np.zeros((len(at), 2, 2))
+            pairs[np.arange(len(at)), y[at], y[at]] = lengths[at] - 1
+            groups.append([own, weight[at], y[at], size, y[at][:, None] * own.live.astype(float), pairs])
+    del chains
+    p = np.zeros(WIDTH + 4)
+    m1, m2 = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, trans = p[:WIDTH], p[WIDTH:].reshape(2, 2)
-        u = np.zeros((len(chains), most, 2))
-        u[:, :, 1] = x @ w
-        f = np.zeros_like(u)
-        b = np.zeros_like(u)
-        f[:, 0] = u[:, 0]
-        for i in range(1, most):
-            f[:, i] = u[:, i] + np.logaddexp(f[:, i - 1, :1] + trans[0], f[:, i - 1, 1:] + trans[1])
-        for i in range(most - 2, -1, -1):
-            nxt = u[:, i + 1] + b[:, i + 1]
-            step_b = np.logaddexp(trans[:, 0][None] + nxt[:, :1], trans[:, 1][None] + nxt[:, 1:])
-            b[:, i] = np.where(live[:, i + 1, None], step_b, 0)
-        last = f[np.arange(len(chains)), lengths - 1]
-        z = np.logaddexp(last[:, 0], last[:, 1])
-        good = np.exp(f[:, :, 1] + b[:, :, 1] - z[:, None])
-        g_u = (good - y[:, None]) * live * weight[:, None]
-        grad_w = np.einsum("nl,nlf->f", g_u, x)
-        pair = f[:, :-1, :, None] + trans[None, None] + (u + b)[:, 1:, None, :] - z[:, None, None, None]
-        expected = np.exp(np.minimum(pair, 0)) * live[:, 1:, None, None]
-        grad_t = np.einsum("nlab,n->ab", expected, weight)
-        seen = np.maximum(lengths - 1, 0) * weight
-        grad_t[0, 0] -= seen[y == 0].sum()
-        grad_t[1, 1] -= seen[y == 1].sum()
-        g = np.concatenate([grad_w, grad_t.ravel()]) + decay * p
-        m1 = 0.9 * m1 + 0.1 * g
-        m2 = 0.99 * m2 + 0.01 * g * g
+        if step in turns:
+            for g in groups:
+                at = np.flatnonzero(g[2] == 0)
+                if len(at):
+                    own = Chains(g[0].x[at], g[0].lengths[at])
+                    g[4][at], g[5][at] = own.latent(w, trans, g[3][at], bad_share)
+        grad = decay * p
+        for own, weight_, _, _, told, pairs in groups:
+            good, expected = own(w, trans)
+            grad[:WIDTH] += np.einsum("nl,nlf->f", (good - told) * weight_[:, None], own.x)
+            grad[WIDTH:] += np.einsum("nab,n->ab", expected - pairs, weight_).ravel()
+        if turns and step < turns[0]:
+            grad[WIDTH:] = 0  # until then lines are told by themselves and their neighbours' features
+        m1 = 0.9 * m1 + 0.1 * grad
+        m2 = 0.99 * m2 + 0.01 * grad * grad
         p = p - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     return pickle.dumps((p[:WIDTH] / dev, float(-(p[:WIDTH] / dev) @ mean), p[WIDTH:].reshape(2, 2)))
 

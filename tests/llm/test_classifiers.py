@@ -80,3 +80,24 @@ def test_line_model_is_small():
     rows = [(d[0], d[1], q) for d, (_, q, _) in zip(docs, labels)]
     assert len(Q.fit(rows, {0: 20, 1: 60}, steps=20)) < 4000
     assert pickle.loads(Q.fit([], {})) is None
+
+
+def test_lines_of_half_bad_documents(spark):
+    """Bad documents of the training part are half good; the chain tells their lines apart."""
+    import pickle
+    import random
+
+    from basestream.llm import quality as Q
+
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["The", "harbour", "village", "keeps", "its", "old", "lights", "near", "water"]) for _ in range(9)) + "."
+    junk = lambda: " ".join(rng.choice(["$$$", "@@", "##1", "BUY", "99", "!!!", "%%"]) for _ in range(9))
+    rows = []
+    for k in range(200):
+        n = rng.randrange(3, 9)
+        lines = [good() for _ in range(2 * n)] if k % 2 else [good() for _ in range(n)] + [junk() for _ in range(n)]
+        rows.append((k, "\n".join(lines), k % 2))
+    w, bias, trans = pickle.loads(Q.fit(rows, {1: 100, 0: 100}))
+    x, _ = Q.document_features("\n".join([good() for _ in range(6)] + [junk() for _ in range(6)]))
+    p = Q.marginals(x @ w + bias, trans)
+    assert (p[:5] > 0.5).all() and (p[7:] < 0.5).all()
