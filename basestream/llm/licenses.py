@@ -2,28 +2,34 @@
 containment verifies them; built-in functions only.
 
 Texts are lower-cased and split at everything but ASCII letters, digits and non-ASCII;
-shingles are three words. Only shingles that some template has can count towards
-containment, so windows are made of those: a size class has windows of ``w`` words that
-overlap by half, and takes the templates of at most ``w / 2`` words, each of which then
-lies whole inside some window. For a template contained to ``least`` in a window with
-as many foreign shingles as the class allows, the Jaccard similarity is at least J; the
-number of bands (one row each) is the least that misses such a pair with probability
-under ``miss``.
-
-The templates are a fixed small set, so their bands are literals of bounded size.
-
-Defined cases: null and empty texts match nothing; repeated rows of an id and text are
-one document here; a license is reported once per document with its best window; no
-rows give no findings.
+shingles are three words. A size class has windows of ``w`` words that overlap by half,
+and takes the templates of at most ``w / 2`` words, each of which then lies whole inside
+some window. All of a window's shingles are hashed by one permutation into ``bins``
+ranges, and the least hash of each range is one band of one row. A template is
+retrieved where it has a band in common with the window; the number of ranges is the
+least that misses a template contained to ``least`` with probability under ``miss``.
+Retrieved templates are verified by exact containment in the window.
+
+Templates come as a table (name, text) or a mapping. Their bands are joined; they are
+broadcast while there are at most ``LIGHT_BANDS`` of them.
+
+Defined cases: null and empty texts match nothing, nor do templates of fewer than three
+words; texts of any length are scanned whole; repeated rows of an id and text are one
+document here, rows without an id are told apart by their text; a license is reported
+once per document with its best window; other columns than doc_id and text don't matter;
+no rows give no findings.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basestream.llm.common import materialise
+from basestream.llm.fingerprints import let
+
 #: Wording of common public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -36,6 +42,30 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
 }
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
 
@@ -48,63 +78,91 @@ def shingle_at(h: Column, i: Column) -> Column:
     return F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))
 
 
-def bands_needed(jaccard: float, miss: float) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - jaccard))
+def bins_needed(shingles: int, window: int, least: float, miss: float) -> int:
+    """Ranges of hash space, a power of two. Of the shingles that a template and a window
+    share, each misses if another one of its range is less, which of ``load`` shingles a range
+    happens with probability 1 - (1 - exp(-load)) / load; all of them must."""
+    shared = math.ceil(least * shingles)
+    union = window - 2 + shingles - shared
+    bins = 2
+    while bins < 1 << 20:
+        load = union / bins
+        if (1 - (1 - math.exp(-load)) / load) ** shared <= miss:
+            break
+        bins *= 2
+    return bins
+
+
+def bands(shingles: Column, bins: int) -> Column:
+    """The least hash of each of ``bins`` equal ranges of hash space that has any."""
+    shift = 64 - (bins.bit_length() - 1)
+    ordered = F.sort_array(shingles)
+    return let(ordered, lambda a: F.filter(a, lambda v, i: (i == 0) | (F.shiftright(v, shift) != F.shiftright(F.get(a, i - 1), shift))))
+
+
+def shingles_of(text: Column) -> Column:
+    """Hashes of all three-word shingles, in order; empty for fewer words."""
+    made = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: shingle_at(h, i))
+    none = F.array().cast("array<bigint>")
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= 3, made(h)).otherwise(none))
+
+
+#: Template bands that are broadcast at most (24 bytes each and the name).
+LIGHT_BANDS = 300_000
 
 
-def template_rows(spark, templates: dict[str, str]) -> list[tuple[str, int, frozenset]]:
-    """(license, words, shingle hashes); hashed by the same expressions as texts."""
-    one = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()]))
-    h = F.transform(words(F.col("t.text")), lambda w: F.xxhash64(w))
-    rows = spark.range(1).select(one.alias("t")).select("t.name", h.alias("h")).select(
-        "name", F.size("h").alias("n"), F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 3, F.lit(0))), lambda i: shingle_at(F.col("h"), i)).alias("s")
-    ).collect()
-    return [(r["name"], r["n"], frozenset(r["s"])) for r in rows]
+def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame | None) -> DataFrame:
+    """(license, template, w): distinct shingles and the size class, the least power of
+    two from 16 on of which the template's words fill half at most."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select(F.col("name").alias("license"), F.col("text").alias("text"))
+    else:
+        made = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in (templates or TEMPLATES).items()])
+        rows = spark.range(1).select(F.explode(made).alias("t")).select("t.*")
+    hashed = rows.select("license", F.explode(F.array(shingles_of(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    w = F.greatest(F.lit(16), F.pow(F.lit(2.0), F.ceil(F.log2(2.0 * (F.size("s") + 2)))).cast("int"))
+    return hashed.select("license", F.array_distinct("s").alias("template"), w.alias("w"))
 
 
-def minhash(values: Column, bands: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.array_min(F.transform(values, lambda v: F.xxhash64(v, j))))
+def window(shingles: Column, k: Column, w: Column) -> Column:
+    return F.slice(shingles, (k * (w / 2) + 1).cast("int"), (w - 2).cast("int"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, miss: float = 1e-3) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, least: float = 0.8, miss: float = 1e-3) -> DataFrame:
     """(doc_id, license, containment, first_word): every template a text contains."""
     spark = docs.sparkSession
-    known = template_rows(spark, templates or TEMPLATES)
-    every = sorted({s for _, _, t in known for s in t})
-    # Size classes: windows of 16, 32, 64 ... words.
-    sizes: dict[int, list] = {}
-    for name, n, t in known:
-        w = 16
-        while n > w // 2:
-            w *= 2
-        sizes.setdefault(w, []).append((name, t))
+    table = template_table(spark, templates)
+    classes = {r["w"]: bins_needed(r["n"], r["w"], least, miss) for r in table.groupBy("w").agg(F.min(F.size("template")).alias("n")).collect()}
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Explode keeps the hashes a column of their own, computed once a text.
-    hashed = text.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
-    places = F.sequence(F.lit(0), F.size("h") - 3)
-    any_known = F.arrays_overlap(F.transform(places, lambda i: shingle_at(F.col("h"), i)), F.array(*[F.lit(s) for s in every]))
-    at = F.when(any_known, F.filter(places, lambda i: shingle_at(F.col("h"), i).isin(every))).otherwise(F.array().cast("array<int>"))
-    hits = hashed.where(F.size("h") >= 3).select("doc_id", "text_key", "h", F.explode(at).alias("i"))
-    hits = hits.select("doc_id", "text_key", "i", shingle_at(F.col("h"), F.col("i")).alias("s"))
-    kinds = F.array(*[F.lit(w) for w in sorted(sizes)])
-    spread = hits.select("doc_id", "text_key", "i", "s", F.explode(kinds).alias("w"))
-    spread = spread.select("*", F.floor(F.col("i") / (F.col("w") / 2)).cast("int").alias("k"))
-    spread = spread.select("doc_id", "text_key", "i", "s", "w", F.explode(F.array("k", F.col("k") - 1)).alias("k"))
-    windows = spread.groupBy("doc_id", "text_key", "w", "k").agg(F.collect_set("s").alias("set"), F.min("i").alias("first_word"))
-    found = None
-    for w, members in sorted(sizes.items()):
-        smallest = min(len(t) for _, t in members)
-        # All of a window's other shingles may belong to other templates.
-        jaccard = least * smallest / (w - 2 + (1 - least) * smallest)
-        bands = bands_needed(jaccard, miss)
-        rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[F.lit(s) for s in sorted(t)]).alias("template")) for name, t in members]))
-        table = spark.range(1).select(rows.alias("t")).select("t.*")
-        banded = table.select("license", "template", F.posexplode(minhash(F.col("template"), bands)).alias("band", "low"))
-        own = windows.where(F.col("w") == w)
-        looked = own.select("doc_id", "text_key", "k", "set", "first_word", F.posexplode(minhash(F.col("set"), bands)).alias("band", "low"))
-        pairs = looked.join(F.broadcast(banded), ["band", "low"]).select("doc_id", "text_key", "first_word", "set", "license", "template").distinct()
-        checked = pairs.withColumn("containment", F.size(F.array_intersect("set", "template")) / F.size("template")).where(F.col("containment") >= least)
-        part = checked.select("doc_id", "text_key", "license", "containment", "first_word")
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy("doc_id", "text_key", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("at"))).alias("b"))
+    # Explode keeps the shingles a column of their own, computed once a text.
+    hashed = text.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array(shingles_of(F.col("text")))).alias("s")).where(F.size("s") > 0)
+
+    def windows_of(w: int, bins: int) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size("s") + 2) / (w / 2)).cast("int") - 2)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.lit(w).alias("w"), k.alias("k"), bands(window(F.col("s"), k, F.lit(w)), bins).alias("bands")))
+
+    parts, found = F.lit(None), None
+    for w, bins in sorted(classes.items()):
+        own = table.where(F.col("w") == w).select("license", "w", F.explode(bands(F.col("template"), bins)).alias("band"))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.col("id").alias("first_word"))
+    parts = F.flatten(F.array(*[windows_of(w, bins) for w, bins in sorted(classes.items())]))
+    looked = hashed.select("doc_id", "text_key", F.explode(parts).alias("x")).select("doc_id", "text_key", "x.w", "x.k", F.explode("x.bands").alias("band"))
+    banded = F.broadcast(found) if found.count() <= LIGHT_BANDS else found
+    retrieved = materialise(looked.join(banded, ["w", "band"]).select("doc_id", "text_key", "w", "k", "license").distinct())
+    # The shingles of the texts that have candidates, again, and the candidates of each text.
+    asked = retrieved.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("w", "k", "license")).alias("asked"))
+    asked = asked.withColumnsRenamed({"doc_id": "asked_id", "text_key": "asked_key"})
+    if asked.count() <= LIGHT_BANDS // 10:
+        asked = F.broadcast(asked)
+    again = text.withColumn("text_key", F.xxhash64("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_key") == F.col("asked_key")))
+    again = again.select("doc_id", "text_key", "asked", F.explode(F.array(shingles_of(F.col("text")))).alias("s"))
+    cut = again.select("doc_id", "text_key", F.explode(F.transform("asked", lambda x: F.struct(x["license"].alias("license"), x["w"].alias("w"), x["k"].alias("k"), window(F.col("s"), x["k"], x["w"]).alias("s")))).alias("x"))
+    known = F.broadcast(table.drop("w")) if found.count() <= LIGHT_BANDS else table.drop("w")
+    checked = cut.select("doc_id", "text_key", "x.*").join(known, "license").select(
+        "doc_id", "text_key", "license", (F.size(F.array_intersect("s", "template")) / F.size("template")).alias("containment"),
+        let(F.filter("s", lambda v: F.array_contains("template", v)), lambda hit: F.array_position("s", F.get(hit, 0)) - 1 + (F.col("k") * F.col("w") / 2).cast("long")).alias("first_word"),
+    ).where(F.col("containment") >= least)
+    best = checked.groupBy("doc_id", "text_key", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("at"))).alias("b"))
     return best.select("doc_id", "license", F.round("b.containment", 6).alias("containment"), (-F.col("b.at")).cast("long").alias("first_word"))

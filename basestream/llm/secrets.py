@@ -11,8 +11,11 @@ on the driver from labelled findings (a bounded, documented sample; by default
 
 Secret values are not repeated in the result, only their SHA-256.
 
-Defined cases: null and empty texts have no candidates; repeated candidates and rows
-are all reported; no rows give no findings.
+Runs without any digit are no candidates: in prose they are words.
+
+Defined cases: null and empty texts have no candidates; texts and words of any length are
+scanned whole; repeated candidates, repeated rows and rows without an id are all reported;
+other columns than doc_id and text don't matter; no rows give no findings.
 """
 
 from __future__ import annotations
@@ -42,9 +45,10 @@ DICTIONARY = (
 ).split()
 SECRET_NEAR = r"(token|secret|passw|api.?key|apikey|access.?key|private|credential|auth|bearer)"
 BENIGN_NEAR = r"(commit|sha|md5|checksum|digest|uuid|guid|phone|call|card|order|invoice|isbn|version|example|sample|test|http|www|mail|at|from|file|path|page)"
+BENIGN_AFTER = r"^\W*(commit|hash|checksum|digest|uuid|guid|ext|expires?|cvv|usd|eur|version|build|html?|port|ip|is|was|were|and|or|for|from)\b"
 FEATURES = (
     "size", "digits", "uppers", "marks", "transitions", "distinct", "covered", "hex_only", "digits_only", "uuid",
-    "pathlike", "assigned", "quoted", "near_secret", "near_benign", "prefixed",
+    "pathlike", "assigned", "quoted", "near_secret", "near_benign", "prefixed", "near_benign_after",
 )
 
 
@@ -105,6 +109,7 @@ def features(found: DataFrame) -> DataFrame:
         "quoted": yes(F.col("word").rlike("^[\"'`]|=[\"'`]")),
         "near_secret": yes(F.concat_ws(" ", before, F.lower("word")).rlike(SECRET_NEAR)),
         "near_benign": yes(before.rlike(r"\b" + BENIGN_NEAR + r"\b")),
+        "near_benign_after": yes(F.lower("after").rlike(BENIGN_AFTER)),
         "prefixed": yes(v.rlike("^(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|eyJ)")),
     }
     return found.select("*", *[made[f].alias(f) for f in FEATURES])
@@ -137,8 +142,9 @@ def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
         (0, plain, F.concat(num("i", 3), F.lit("."), num("j", 2), F.lit("."), num("q", 3), F.lit("."), num("r", 3))),
         (0, F.lit("phone +4"), F.concat(F.lit("("), num("t", 3), F.lit(")"), num("s", 4), F.lit("-"), num("w", 6))),
     ]
+    after = {1: pick(["", "", "# rotate", "on", "then", "de", "|"]), 0: pick(["", "", "commit", "expires", "is", "and", "de", "|"])}
     case = lambda at: F.get(F.array(*[k[at] if not isinstance(k[at], int) else F.lit(k[at]) for k in kinds]), (i % len(kinds)).cast("int"))
-    made = spark.range(rows).select(case(0).alias("label"), case(1).alias("before"), case(2).alias("word"), F.lit("").alias("after"))
+    made = spark.range(rows).select(case(0).alias("label"), case(1).alias("before"), case(2).alias("word"), F.when(case(0) == 1, after[1]).otherwise(after[0]).alias("after"))
     return made.withColumn("value", F.regexp_extract("word", CORE, 0)).where(F.col("value") != "")
 
 
@@ -169,8 +175,10 @@ def grow(x: np.ndarray, y: np.ndarray, rows: np.ndarray, rng: np.random.Generato
 
 
 def fit(findings: DataFrame, trees: int = 15, depth: int = 6, most: int = 5000, seed: int = 11) -> list:
-    """A forest from at most ``most`` labelled findings (word, value, before, after, label)."""
-    rows = features(findings).select(*FEATURES, "label").limit(most).collect()
+    """A forest from at most ``most`` labelled findings (word, value, before, after, label):
+    those with the least hashes, so their order plays no part and both classes keep their shares."""
+    told = features(findings).withColumn("pick", F.xxhash64("word", "value", "before", "after"))
+    rows = told.orderBy("pick", "label").limit(most).select(*FEATURES, "label").collect()
     if not rows:
         return [0.0]
     data = sorted(tuple(float(v) for v in r) for r in rows)

@@ -31,11 +31,13 @@ def test_fingerprints(spark):
     assert len(copies) == 3 and len({rows[d]["fingerprint"] for d in copies}) == 1
 
 
-def test_next_document_across_ranges(spark):
+def test_next_document_across_ranges(spark, monkeypatch):
     df = frame(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     one = {r["doc_id"]: r["next_text"] for r in P.with_next(df, bucket_rows=10**6).collect()}
     many = {r["doc_id"]: r["next_text"] for r in P.with_next(df, bucket_rows=5).collect()}
-    assert one == many and len(one) == len(documents())
+    monkeypatch.setattr(P, "MOST_CUTS", 3)
+    finer = {r["doc_id"]: r["next_text"] for r in P.with_next(df, bucket_rows=5).collect()}
+    assert one == many == finer and len(one) == len(documents())
     assert P.report(P.fingerprint_documents(empty(spark))).count() == 0
     single = frame(spark, [(7, "a b c d e f", "", "", 1)])
     assert P.report(P.fingerprint_documents(single)).first()["near_next"] == 1.0
@@ -117,3 +119,37 @@ def test_secrets_glued_and_several_in_a_word(spark):
     assert all(verdict[k, h(hexa)] for k in (0, 1, 4, 5)) and verdict[2, h(aws)] and verdict[3, h(aws)]
     assert not verdict[11, h("//example.com/page12345")]
     assert max(len(r["word"]) for r in secrets.candidates(docs).collect()) <= secrets.FIELD_BYTES + 64
+
+
+def test_secrets_of_whole_documents(spark):
+    """Planted findings of the table: quoted digests behind "token =" against its
+    card numbers, addresses and mail names."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted, benign = set(), set()
+    for d, t in docs.select("doc_id", "text").toLocalIterator():
+        planted |= {(d, hashlib.sha256(x.encode()).hexdigest()) for x in re.findall('(?i:token) = "([0-9a-fA-F]{40})"', t or "")}
+        benign |= {(d, hashlib.sha256(x.encode()).hexdigest()) for x in re.findall(r"\b[0-9]{16}\b|\b\w+\.[0-9]+@mail[0-9]\.example\.com\b", t or "")}
+    found = {(r["doc_id"], r["value_sha256"]) for r in secrets.scan_secrets(docs).where("is_secret").collect()}
+    assert len(planted) > 10 and len(found & planted) / len(planted) >= 0.95
+    assert len(found & benign) == 0 and len(found & planted) / len(found) >= 0.9
+
+
+def test_license_bands_retrieve_and_long_templates(spark):
+    for shingles, window in ((3, 16), (7, 16), (60, 128), (500, 1024)):
+        bins = licenses.bins_needed(shingles, window, 0.8, 1e-3)
+        load = (window - 2 + shingles) / bins
+        assert (1 - (1 - 2.718281828 ** -load) / load) ** (0.8 * shingles) <= 2e-3
+    import random
+
+    rng = random.Random(3)
+    w = licenses.TEMPLATES["MIT-text"].split(" ")
+    noisy = [x if rng.random() > 0.02 else "otherwise" for x in w]
+    filler = [f"w{rng.randrange(500)}" for _ in range(3000)]
+    docs = frame(spark, [(1, " ".join(filler[:1234] + noisy + filler[1234:]), "", "", 0), (2, " ".join(filler), "", "", 0), (None, " ".join(w), "", "", 0)])
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan_licenses(docs).collect()}
+    assert (1, "MIT-text") in got and (None, "MIT-text") in got and not any(d == 2 for d, _ in got)
+    assert 1200 < got[1, "MIT-text"]["first_word"] <= 1260
+    own = spark.createDataFrame([("mine", " ".join(filler[100:160])), ("short", "one two")], "name string, text string")
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, own).collect()} == {(1, "mine"), (2, "mine")}
