@@ -8,12 +8,16 @@ matrix: little-endian uint16 or uint32 ids, padded to the capacity with the padd
 cumulative segment lengths, the positions at which position ids reset, and for
 each segment the document it came from and where it begins there.
 
+Ids take two bytes where the vocabulary and the padding id fit, else four.
+``write_matrices`` writes them as files that can be mapped into memory, one matrix a shard.
+
 Sharding is by a hash of the id, so one source or one group of copies never lands
 in one task; ``shard_chars`` bounds what a task holds and the number of shards
 follows the total length of the texts.
 
 Defined cases: null and empty texts have no ids and appear as segments of length 0;
-repeated rows are packed one by one; no rows give no matrix rows.
+texts of any length are split without loss; repeated rows and null ids are packed one by
+one; other columns than doc_id and text don't matter; no rows give no matrix rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basestream.llm.common import returning
+from basestream.llm.common import returning, small_batches
 
 #: The pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,13 +38,22 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 
 
+def read_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+
+
+def id_width(ranks: bytes, pad: int) -> type:
+    """The least type that holds every id of the vocabulary and the padding id."""
+    return np.uint16 if max(pad, *read_ranks(ranks).values()) < 1 << 16 else np.uint32
+
+
 class Encoder:
     """Byte-pair ids of whole texts."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+        table = read_ranks(ranks)
         self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -119,12 +132,14 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = 20
     """The packed matrix of ``docs``; the vocabulary file (about a megabyte) is read
     by the driver and broadcast."""
     with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    width = id_width(data, pad)
+    ranks = docs.sparkSession.sparkContext.broadcast(data)
+    small_batches(docs.sparkSession)
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n = max(1, -(-((total[0] or 0) + 64 * total[1]) // shard_chars))
     shards = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    width = np.uint16 if pad < 1 << 16 else np.uint32
     held: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +173,34 @@ def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = 20
         if got:
             yield from done(now, got)
 
-    return shards.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(returning(run), SCHEMA)
+    return shards.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(returning(run), SCHEMA)
 
 
-def unpack(rows: list[tuple]) -> dict:
+def unpack(rows: list[tuple], width: type = np.uint16) -> dict:
     """(doc_ids, doc_offsets, cu_seqlens, input_ids) rows back to ids per document:
-    the exact inverse, for unique ids."""
+    the exact inverse, for unique ids. ``width`` is the ids' type."""
     parts: dict = {}
     for ids, offsets, ends, data in rows:
-        line = np.frombuffer(data, np.uint16)
+        line = np.frombuffer(data, width)
         for k, (doc, first) in enumerate(zip(ids, offsets)):
             parts.setdefault(doc, []).append((first, line[ends[k] : ends[k + 1]]))
     return {d: np.concatenate([p for _, p in sorted(ps, key=lambda x: x[0])]) for d, ps in parts.items()}
+
+
+def write_matrices(rows: DataFrame, folder: str) -> None:
+    """``token_rows`` as files: ``folder/ids`` has one binary column of fixed width (the
+    matrix, row after row, uncompressed and without a dictionary, so that a reader maps its
+    pages), and the segments of each row stand in the same order in other columns. The file
+    source's commit protocol writes whole files only, so a lost task leaves none behind."""
+    ordered = rows.sortWithinPartitions("row_id")
+    ordered.write.option("compression", "none").option("parquet.enable.dictionary", "false").mode("errorifexists").parquet(f"{folder}/ids")
+
+
+def read_matrix(path: str, width: type = np.uint16) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+    """One written file: (rows, capacity) ids, cumulative segment lengths, position resets."""
+    import pyarrow.parquet as pq
+
+    got = pq.read_table(path, columns=["input_ids", "cu_seqlens", "position_resets"])
+    data = got["input_ids"].to_pylist()
+    matrix = np.frombuffer(b"".join(data), width).reshape(len(data), -1) if data else np.zeros((0, 0), width)
+    return matrix, got["cu_seqlens"].to_pylist(), got["position_resets"].to_pylist()

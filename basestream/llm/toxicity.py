@@ -9,9 +9,11 @@ values. Scoring gathers the product of weight and ratio for each distinct n-gram
 Fitting sees at most ``max_toxic`` and ``max_clean`` labelled texts, chosen by a
 hash of the id; this bound is a parameter. Scoring reads every text whole.
 
-Defined cases: null is the empty text, whose score is the prior; without labels of
-both classes every score is the share of toxic labels (0 without labels); repeated
-rows are scored one by one; columns named like an output are replaced.
+Defined cases: null is the empty text, whose score is the prior; texts of any length
+are read whole, in pieces of bounded size; without labels of both classes every score is
+the share of toxic labels (0 without labels); repeated rows and rows without an id are
+scored one by one (none of the latter is learnt from or held out); columns named like an
+output are replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from basestream.llm.common import with_columns_arrow
 from basestream.llm.decontaminate import FOLD
 from basestream.llm.labelled import fit_in_one_task, held_out, sample
 
-ORDERS = (3, 4, 5, 6, 7)
-BITS = 20
+ORDERS = (3, 4, 5, 6, 7, 8)
+BITS = 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,8 +71,11 @@ class Featurizer:
         return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
-def fit(rows: list[tuple], counts: dict[int, int], epochs: int = 6, rate: float = 0.1, least_docs: int = 3, most_features: int = 1 << 17) -> bytes:
-    """rows: (id, text, label). Returns the pickled (indices, values, intercept)."""
+def fit(rows: list[tuple], counts: dict[int, int], epochs: int = 6, rate: float = 0.1, least_docs: int = 3, per_toxic: int = 8, most_features: int = 1 << 16) -> bytes:
+    """rows: (id, text, label). Returns the pickled (indices, values, intercept). The
+    strongest features are fitted, ``per_toxic`` of them for each toxic text of the sample
+    (1,024 at least, ``most_features`` at most): with more, rare n-grams of few texts
+    drown the others."""
     y = np.array([r[2] for r in rows], np.int64)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     total = sum(counts.values())
@@ -85,8 +90,9 @@ def fit(rows: list[tuple], counts: dict[int, int], epochs: int = 6, rate: float
     strength = np.abs(ratio) * np.sqrt(df.sum(0))
     strength[df.sum(0) < least_docs] = 0
     chosen = np.flatnonzero(strength > 0)
-    if len(chosen) > most_features:
-        chosen = chosen[np.argsort(-strength[chosen], kind="stable")[:most_features]]
+    most = min(most_features, max(1024, per_toxic * n1))
+    if len(chosen) > most:
+        chosen = chosen[np.argsort(-strength[chosen], kind="stable")[:most]]
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     r = ratio[chosen]

@@ -79,3 +79,53 @@ def test_capacity_tree_is_best_fit():
         else:
             free.append(100 - n)
     assert sorted(free) == sorted(100 - sum(n for _, _, n in r) for r in rows)
+
+
+def test_one_source_and_large_clusters_stay_fast():
+    import time
+
+    began = time.time()
+    rows = P.pack(((k, 10, "only", f"c{k % 3 if k % 2 else k}") for k in range(20_000)), 2048, 4)
+    assert len(rows) == 20_000 and time.time() - began < 20
+    by_bin = {}
+    for r in rows:
+        by_bin.setdefault(r[0], []).append(r[9])
+    assert all(len(c) <= 4 and len(set(c)) == len(c) for c in by_bin.values())
+
+
+def test_search_with_large_clusters_is_the_tightest():
+    rng = np.random.default_rng(5)
+    pieces = sorted(((int(s), int(k), int(c)) for s, k, c in zip(rng.integers(0, 60, 400), rng.integers(0, 3, 400), rng.integers(0, 5, 400))), reverse=True)
+    bins = P.BestFit(64, 3, 400)
+
+    def plain():
+        made = []
+        for size, source, cluster in pieces:
+            fits = [(64 - b["used"], k) for k, b in enumerate(made) if 64 - b["used"] >= size and b["s"].count(source) < 3 and cluster not in b["c"]]
+            k = min(fits)[1] if fits else len(made)
+            if k == len(made):
+                made.append({"used": 0, "s": [], "c": set()})
+            made[k]["used"] += size
+            made[k]["s"].append(source)
+            made[k]["c"].add(cluster)
+            yield k
+
+    assert [bins.place(s, k, c, c < 3)[0] for s, k, c in pieces] == list(plain())
+
+
+def test_wide_vocabulary_and_matrix_files(spark, tmp_path):
+    import base64
+    import glob
+
+    ranks = [bytes([b]) for b in range(256)] + [b"the", b"an"]
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(k if k < 256 else k + 70_000).encode() for k, t in enumerate(ranks)))
+    docs = [(1, "an ant the theme", "", "", 0), (None, "the", "", "", 0), (3, None, "", "", 0)]
+    df = T.token_rows(frame(spark, docs), vocabulary=str(path), capacity=16, pad=0)
+    encode = T.Encoder(path.read_bytes())
+    got = T.unpack([(r["doc_ids"], r["doc_offsets"], r["cu_seqlens"], bytes(r["input_ids"])) for r in df.collect()], np.uint32)
+    assert {d: v.tolist() for d, v in got.items()} == {d: encode(t).tolist() for d, t, *_ in docs} and max(got[1]) > 70_000
+    T.write_matrices(df, str(tmp_path / "out"))
+    matrices = [T.read_matrix(p, np.uint32) for p in glob.glob(str(tmp_path / "out/ids/*.parquet"))]
+    assert sum(e[-1] for _, ends, _ in matrices for e in ends) == sum(len(v) for v in got.values())
+    assert all(m.shape[1] == 16 for m, ends, _ in matrices if ends)
