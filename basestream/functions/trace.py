@@ -81,3 +81,43 @@ def unique_id(name: Column, taken: Column) -> Column:
     numbers = F.sequence(F.lit(1), F.size(taken) + 1)
     free = F.filter(F.transform(numbers, lambda k: F.concat(name, F.lit("."), k.cast("string"))), lambda x: ~F.array_contains(taken, x))
     return F.when(F.array_contains(taken, name), F.get(free, 0)).otherwise(name)
+
+
+def original_confidence(base: Column, places: Column, a: Column, c: Column, g: Column, t: Column) -> Column:
+    """Confidence of edited bases by their original places (1-based): 0 for an inserted base
+    (place 0), 2 where the original base isn't A, C, G or T."""
+
+    def own(p: Column) -> Column:
+        b = F.upper(F.substring(base, p.cast("int"), F.lit(1)))
+        i = p.cast("int") - 1
+        return F.when(p == 0, 0).when(b == "A", F.get(a, i)).when(b == "C", F.get(c, i)).when(b == "G", F.get(g, i)).when(b == "T", F.get(t, i)).otherwise(2).cast("long")
+
+    return F.transform(places, own)
+
+
+def running_sums(values: Column) -> Column:
+    """Prefix sums, as from flow steps to base places."""
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"] + x)).alias("out"))
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def edited_positions(positions: list[int], edits: list[int], points: int) -> list[int]:
+    """Sample positions of edited bases: of kept bases (their original numbers, 1-based) the
+    original ones, of inserted ones (0) evenly between their neighbours in whole steps."""
+    out = [positions[e - 1] if e else 0 for e in edits]
+    at = 0
+    while at < len(out):
+        if edits[at]:
+            at += 1
+            continue
+        end = at
+        while end < len(out) and not edits[end]:
+            end += 1
+        low = out[at - 1] if at else 0
+        step = ((out[end] if end < len(out) else points) - low) // (end - at + 1)
+        for k in range(at, end):
+            low += step
+            out[k] = low
+        at = end
+    return out

@@ -32,6 +32,54 @@ def in_range(aln: DataFrame, ref_id: int, start: int, end: int) -> DataFrame:
     return aln.where((F.col("ref_id") == ref_id) & (F.col("pos") <= end) & (F.col("pos") + F.col("span") - 1 >= start))
 
 
+def parse_range(text: str) -> tuple[str | None, int | None, int | None]:
+    """``ref[:start[-end]]`` as (ref, start, end), 1-based and closed; one number is both
+    ends, no colon is the whole reference, and ``*`` the records without one (None)."""
+    if text == "*":
+        return None, None, None
+    name, colon, span = text.partition(":")
+    if not colon:
+        return name, None, None
+    low, dash, high = span.partition("-")
+    if not low.isdigit() or (dash and not high.isdigit()):
+        raise ValueError(f"malformed range {text!r}")
+    return name, int(low), int(high if dash else low)
+
+
+def in_named_range(aln: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """Records of a range by reference name; ``names`` (id, name) is the header's table."""
+    name, start, end = parse_range(text)
+    if name is None:
+        return aln.where(F.col("ref_id") < 0)
+    found = names.where(F.col("name") == name).select("id").take(1)
+    if not found:
+        raise ValueError(f"unknown reference {name!r}")
+    kept = aln.where(F.col("ref_id") == found[0]["id"])
+    return kept if start is None else kept.where((F.col("pos") + 1 <= end) & (F.col("pos") + F.col("span") >= start))
+
+
+def order_breaks(aln: DataFrame, block: int = 65536) -> DataFrame:
+    """Records that stand behind a later (ref_id, pos) in file order; unmapped ones sort last.
+    Neighbours are found inside blocks, with one boundary row a block."""
+    place = F.struct(F.when(F.col("ref_id") < 0, F.lit(2**31 - 1)).otherwise(F.col("ref_id")).alias("r"), F.col("pos").alias("p"))
+    b = aln.withColumn("blk", F.floor((F.col("file_ord") - 1) / block)).withColumn("place", place)
+    ends = b.groupBy("blk").agg(F.max_by("place", "file_ord").alias("own"))
+    tails = ends.select("blk", F.lag("own").over(Window.orderBy("blk")).alias("tail"))
+    w = Window.partitionBy("blk").orderBy("file_ord")
+    prev = F.coalesce(F.lag("place").over(w), F.when(F.row_number().over(w) == 1, F.col("tail")))
+    return b.join(tails, "blk", "left").withColumn("before", prev).where(F.col("before") > F.col("place")).drop("blk", "place", "tail", "before")
+
+
+def slice_references(sliced: DataFrame) -> DataFrame:
+    """How often each slice uses a reference, and its bases there."""
+    return sliced.where(F.col("ref_id") >= 0).groupBy("slice_id", "ref_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("span").alias("bases"))
+
+
+def slice_counts(sliced: DataFrame) -> DataFrame:
+    """Records, mapped records and bases of each slice."""
+    return sliced.groupBy("slice_id").agg(F.count(F.lit(1)).alias("records"), F.count_if(~has(UNMAPPED)).alias("mapped"), F.sum("span").alias("bases"))
+
+
 def merge_sorted(*inputs: DataFrame) -> DataFrame:
     """k-way merge: inputs in coordinate order become one; ties go to the earlier input.
     Records without a reference come last."""
@@ -130,7 +178,9 @@ def add_slices(aln: DataFrame, records: int = 1000) -> DataFrame:
 def ref_runs(aln: DataFrame, block: int = 65536) -> DataFrame:
     """``aln`` with run_start: the file order at which its run of equal ref_id began."""
     b = aln.withColumn("blk", F.floor((F.col("file_ord") - 1) / block))
-    tails = b.groupBy("blk").agg(F.max_by("ref_id", "file_ord").alias("tail")).select((F.col("blk") + 1).alias("blk"), "tail")
+    # The block before may be any number below: file order can have gaps.
+    ends = b.groupBy("blk").agg(F.max_by("ref_id", "file_ord").alias("own"))
+    tails = ends.select("blk", F.lag("own").over(Window.orderBy("blk")).alias("tail"))
     w = Window.partitionBy("blk").orderBy("file_ord")
     starts = b.join(tails, "blk", "left").withColumn("prev", F.coalesce(F.lag("ref_id").over(w), F.when(F.row_number().over(w) == 1, F.col("tail"))))
     marked = starts.withColumn("s", F.when(F.col("prev").isNull() | (F.col("prev") != F.col("ref_id")), F.col("file_ord")))

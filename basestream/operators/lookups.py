@@ -76,3 +76,57 @@ def rebuild_header(lines: DataFrame) -> DataFrame:
     first = lines.groupBy("type").agg(F.min("line_no").alias("seen"))
     ranked = lines.join(first, "type").withColumn("rank", F.when(F.col("type") == "HD", -1).otherwise(F.col("seen")))
     return ranked.orderBy("rank", "line_no")
+
+
+def read_groups(records: DataFrame, groups: DataFrame, tag: Column) -> DataFrame:
+    """``records`` with rg_id, the number of the header's read group that ``tag`` names;
+    -1 without the tag or such a group. The header is broadcast."""
+    known = groups.select(F.col("name").alias("_rg"), F.col("id").alias("_rg_id"))
+    return records.withColumn("_tag", tag).join(F.broadcast(known), F.col("_tag") == F.col("_rg"), "left").select(*records.columns, F.coalesce("_rg_id", F.lit(-1)).alias("rg_id"))
+
+
+def update_header(lines: DataFrame, kind: str, name_key: str, name: str, changes: dict[str, str]) -> DataFrame:
+    """Header lines (line_no, type, tags) with keys of one line added or replaced; a line that
+    isn't there is added at the end."""
+    tags = F.col("tags")
+    hit = (F.col("type") == kind) & (F.element_at(tags, F.lit(name_key)) == name)
+    new = F.create_map(*[F.lit(x) for kv in changes.items() for x in kv])
+    changed = F.map_concat(F.map_filter(tags, lambda k, _: ~k.isin(*changes)), new)
+    edited = lines.select("line_no", "type", F.when(hit, changed).otherwise(tags).alias("tags"))
+    about = lines.agg((F.coalesce(F.max("line_no"), F.lit(-1)) + 1).cast(dict(lines.dtypes)["line_no"]).alias("line_no"), F.coalesce(F.max(hit), F.lit(False)).alias("there"))
+    added = F.create_map(*[F.lit(x) for kv in ({name_key: name} | changes).items() for x in kv])
+    return edited.unionByName(about.where("not there").select("line_no", F.lit(kind).alias("type"), added.alias("tags")))
+
+
+def find_header(lines: DataFrame, kind: str, key: str | None = None, value: str | None = None) -> DataFrame:
+    """Header lines of a type, and with a key of that value if one is given."""
+    found = lines.where(F.col("type") == kind)
+    return found if key is None else found.where(F.element_at("tags", F.lit(key)) == value)
+
+
+def remove_header(lines: DataFrame, kind: str, key: str, value: str) -> DataFrame:
+    hit = (F.col("type") == kind) & (F.element_at("tags", F.lit(key)) == value)
+    return lines.where(~F.coalesce(hit, F.lit(False)))
+
+
+def trace_files(experiments: DataFrame, traces: DataFrame) -> DataFrame:
+    """``experiments`` (name, trace_name) with found, the trace file that it names, or else
+    the experiment's own sequence (its name)."""
+    known = traces.select(F.col("name").alias("_t"), F.col("path").alias("_path"))
+    return experiments.join(known, F.col("trace_name") == F.col("_t"), "left").select(*experiments.columns, F.coalesce("_path", F.concat(F.lit("SQ:"), "name")).alias("found"))
+
+
+def archive_count(index: DataFrame) -> DataFrame:
+    """Entries and bytes of an archive from its index alone."""
+    return index.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max(F.col("position") + F.col("size")).alias("end"))
+
+
+def filter_blocks(blocks: DataFrame, drop_series: list[str] = (), keep_tags: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Whole blocks (container, series, ...): series to drop, tag series (three letters and
+    more) to keep, and a range of containers. Records are not decoded."""
+    kept = blocks.where(~F.col("series").isin(*drop_series)) if drop_series else blocks
+    if keep_tags is not None:
+        kept = kept.where((F.length("series") < 3) | F.col("series").isin(*keep_tags))
+    if first is not None:
+        kept = kept.where(F.col("container") >= first)
+    return kept if last is None else kept.where(F.col("container") <= last)

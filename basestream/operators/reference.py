@@ -46,18 +46,20 @@ def _edit(ops, seq: str, ref: str) -> tuple[int, str]:
 
 def with_md_nm(aln: DataFrame, reference: DataFrame, size: int = 1 << 16) -> DataFrame:
     """``aln`` with nm and md. Reads meet the chunks they overlap by an equi-join on
-    (reference, chunk); Arrow batches compute the strings."""
+    (reference, chunk); Arrow batches compute the strings. Reads without a known reference
+    or without bases stay, with nulls."""
     ops = cigar.parse(F.col("cigar"))
     placed = aln.withColumn("ops", ops).withColumn("rspan", cigar.reference_span(F.col("ops")))
     last = F.greatest(F.col("pos"), F.col("pos") + F.col("rspan") - 1)
     spread = placed.select("*", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor(last / size))).alias("chunk"))
-    joined = spread.join(chunk_reference(reference, size).withColumnRenamed("name", "rname"), ["rname", "chunk"])
+    joined = spread.join(chunk_reference(reference, size).withColumnRenamed("name", "rname"), ["rname", "chunk"], "inner")
     bases = joined.groupBy("file_ord").agg(F.array_sort(F.collect_list(F.struct("chunk", "bases"))).alias("c"))
-    whole = placed.join(bases, "file_ord").withColumn("ref", F.expr(f"substring(array_join(transform(c, x -> x.bases), ''), int(pos - c[0].chunk * {size}) + 1, int(rspan))"))
+    whole = placed.join(bases, "file_ord", "left").withColumn("ref", F.expr(f"substring(array_join(transform(c, x -> x.bases), ''), int(pos - c[0].chunk * {size}) + 1, int(rspan))"))
 
     @F.pandas_udf("nm long, md string")
     def edit(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for o, s, r in batches:
-            yield pd.DataFrame([_edit(*x) for x in zip(o, s, r)], columns=["nm", "md"])
+            told = [(None, None) if any(v is None for v in x) or x[1] == "*" else _edit(*x) for x in zip(o, s, r)]
+            yield pd.DataFrame({"nm": pd.array([t[0] for t in told], "Int64"), "md": [t[1] for t in told]})
 
     return whole.withColumn("e", edit("ops", "seq", "ref")).select(*aln.columns, "e.nm", "e.md")

@@ -65,3 +65,23 @@ def read_counts(reads: DataFrame, bad: Column) -> DataFrame:
 
 def crc_sums(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[(F.sum(F.crc32(F.col(c).cast("binary"))) % F.lit(1 << 32)).alias(f"crc_{c}") for c in columns])
+
+
+def ratio(raw: Column, packed: Column) -> Column:
+    """Share of the raw size that is left, in per cent; null without raw bytes."""
+    return F.when(raw > 0, F.round(F.lit(100.0) * packed / raw, 2))
+
+
+#: Cost of a block method as a multiple of its size.
+METHOD_COST = {"raw": 1.0, "gzip": 1.04, "bzip2": 1.08, "lzma": 1.04, "rans0": 1.0, "rans1": 1.01, "fqz": 1.05, "tok3": 1.05, "zstd": 1.03}
+
+
+def best_method(trials: DataFrame, by: list[str], level: int = 5) -> DataFrame:
+    """The method of the least weighted total size of each group of trials (method, size);
+    the level says how much a method's cost weighs: four times, whole, half, a third, not."""
+    weight = 4.0 if level <= 1 else 1.0 if level <= 3 else 1 / 2 if level <= 6 else 1 / 3 if level <= 7 else 0.0
+    cost = F.lit(1.0)
+    for name, c in METHOD_COST.items():
+        cost = F.when(F.col("method") == name, F.lit(1 + (c - 1) * weight)).otherwise(cost)
+    sizes = trials.groupBy(*by, "method").agg((F.sum("size") * F.max(cost)).alias("cost"))
+    return sizes.groupBy(*by).agg(F.min(F.struct("cost", "method")).alias("b")).select(*by, F.col("b.method").alias("method"))

@@ -223,3 +223,33 @@ def read_range_index(spark: SparkSession, path: str) -> DataFrame:
 def write_range_index(slices: DataFrame, path: str) -> None:
     cols = ["ref_id", "start", "span", "container_offset", "slice_offset", "slice_bytes"]
     slices.select(*cols).orderBy("container_offset", "slice_offset").write.option("compression", "gzip").csv(path, sep="\t")
+
+
+def archive_names(reads: DataFrame, long_form: bool = False) -> DataFrame:
+    """Names of archived reads in their order; in long form with flags, chunks and bytes."""
+    if not long_form:
+        return reads.select("archive", "ord", "name")
+    size = F.aggregate(F.transform("chunks", lambda c: c["size"]), F.lit(0).cast("long"), lambda a, x: a + x)
+    return reads.select("archive", "ord", "name", "flags", F.size("chunks").alias("n_chunks"), size.alias("bytes"))
+
+
+def name_index(reads: DataFrame, buckets: int = 1 << 16) -> DataFrame:
+    """An index by name: (bucket, check, archive, ord, name), the bucket from a 64-bit hash of
+    the name and the check from seven more of its bits."""
+    h = F.xxhash64("name")
+    return reads.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.shiftrightunsigned(h, 57).cast("int").alias("check"), "archive", "ord", "name")
+
+
+def check_index(index: DataFrame, reads: DataFrame) -> DataFrame:
+    """Rows that index and archive don't share, in one row of counts: all 0 if it holds."""
+    key = ["archive", "ord", "name"]
+    lost = reads.select(*key).exceptAll(index.select(*key)).agg(F.count(F.lit(1)).alias("not_indexed"))
+    return lost.crossJoin(index.select(*key).exceptAll(reads.select(*key)).agg(F.count(F.lit(1)).alias("not_there")))
+
+
+def extract_named(reads: DataFrame, index: DataFrame, names: DataFrame, buckets: int = 1 << 16) -> DataFrame:
+    """Archived reads of the given names by the index: bucket, check, then the name itself."""
+    h = F.xxhash64("name")
+    asked = names.select("name").distinct().select("name", F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.shiftrightunsigned(h, 57).cast("int").alias("check"))
+    hits = index.join(asked, ["bucket", "check", "name"], "left_semi").select("archive", "ord")
+    return reads.join(hits, ["archive", "ord"], "left_semi")

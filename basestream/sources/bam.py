@@ -55,17 +55,29 @@ def blocks(f, start: int = 0) -> Iterator[tuple[int, bytes]]:
         yield at, zlib.decompress(body[:-8], -15)
 
 
-def block_offsets(f) -> list[int]:
-    """Offsets of all blocks, from their headers alone."""
-    out, at = [], 0
-    f.seek(0)
-    while True:
-        head = f.read(18)
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"BC":
-            return out
-        out.append(at)
-        at += struct.unpack_from("<H", head, 16)[0] + 1
-        f.seek(at)
+def ends_whole(f) -> bool:
+    """Whether the file ends with the empty block that marks its end."""
+    f.seek(0, 2)
+    size = f.tell()
+    f.seek(max(0, size - len(EOF_BLOCK)))
+    return f.read() == EOF_BLOCK
+
+
+def next_block(f, start: int) -> int | None:
+    """Offset of the first block from ``start`` on: a block's header whose size leads to
+    another header or to the end of the file."""
+    f.seek(0, 2)
+    end = f.tell()
+    f.seek(start)
+    # A block has at most 64 KB, so one of them begins and ends in what is read.
+    data, at = f.read(3 << 16), -1
+    while (at := data.find(b"\x1f\x8b\x08\x04", at + 1)) >= 0:
+        if data[at + 12 : at + 16] != b"BC\x02\0" or len(data) < at + 18:
+            continue
+        then = at + struct.unpack_from("<H", data, at + 16)[0] + 1
+        if start + then == end or data[then : then + 4] == b"\x1f\x8b\x08\x04":
+            return start + at
+    return None
 
 
 class Header:
@@ -187,13 +199,27 @@ def decode(d: bytes, refs: list[tuple[str, int]], columns: set[str], order: int)
 
 
 class Run(InputPartition):
-    def __init__(self, start: int, end: int, inside: int):
-        self.start, self.end, self.inside = start, end, inside
+    """Blocks that begin in [start, end) of a file; inside: where its first record begins in
+    its first block, if the header ends there. base: bytes of the files before."""
+
+    def __init__(self, path: str, start: int, end: int, inside: int, base: int):
+        self.path, self.start, self.end, self.inside, self.base = path, start, end, inside, base
+
+
+def files_of(path: str) -> list[str]:
+    """The files of a path, folder or pattern, in the order of their names."""
+    import glob
+    import os
+
+    path = path.removeprefix("file://")
+    if os.path.isdir(path):
+        return sorted(glob.glob(f"{glob.escape(path)}/[!._]*.bam"))
+    return [path] if os.path.exists(path) else sorted(glob.glob(path))
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, run_bytes: int, columns: set[str]):
-        self.path, self.run_bytes, self.columns = path, run_bytes, columns
+    def __init__(self, path: str, run_bytes: int, columns: set[str], whole: bool = False):
+        self.path, self.run_bytes, self.columns, self.whole = path, run_bytes, columns, whole
         self.tests: list[tuple[str, str, int]] = []
 
     def pushFilters(self, filters):
@@ -205,27 +231,32 @@ class BamReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        with open(self.path, "rb") as f:
-            head = Header.read(f)
-            offsets = [o for o in block_offsets(f) if o >= head.block]
-        runs, start = [], None
-        for o in offsets:
-            if start is None:
-                start = o
-            elif o - start >= self.run_bytes:
-                runs.append((start, o))
-                start = o
-        if start is not None:
-            runs.append((start, 1 << 62))
-        return [Run(a, z, head.inside if k == 0 else -1) for k, (a, z) in enumerate(runs)]
+        """Ranges of bytes; the task that reads one finds its first block and record, so
+        the driver reads no more of a file than its header."""
+        import os
+
+        runs, base = [], 0
+        for path in files_of(self.path):
+            size = os.path.getsize(path)
+            with open(path, "rb") as f:
+                head = Header.read(f)
+                if self.whole and not ends_whole(f):
+                    raise ValueError(f"{path} is cut off: its end mark is missing")
+            starts = [head.block, *range(head.block + self.run_bytes, size, self.run_bytes)]
+            runs += [Run(path, a, z, head.inside if k == 0 else -1, base) for k, (a, z) in enumerate(zip(starts, [*starts[1:], 1 << 62]))]
+            base += size
+        return runs
 
     def read(self, part: Run) -> Iterator[tuple]:
         compare = {"==": int.__eq__, ">": int.__gt__, ">=": int.__ge__, "<": int.__lt__, "<=": int.__le__}
-        with open(self.path, "rb") as f:
+        with open(part.path, "rb") as f:
             refs = Header.read(f).refs
+            start = part.start if part.inside >= 0 else next_block(f, part.start)
+            if start is None or start >= part.end:
+                return
             data, at, own, synced = b"", max(part.inside, 0), 0, part.inside >= 0
             dropped = 0
-            stream = blocks(f, part.start)
+            stream = blocks(f, start)
             for offset, d in stream:
                 if offset >= part.end:
                     # Only the rest of the last own record is still needed.
@@ -245,7 +276,7 @@ class BamReader(DataSourceReader):
                         break
                     ref, pos = struct.unpack_from("<ii", data, at + 4)
                     if all(compare[op]({"ref_id": ref, "pos": pos}[c], v) for c, op, v in self.tests):
-                        yield decode(data[at + 4 : at + 4 + size], refs, self.columns, (part.start << 16) + dropped + at)
+                        yield decode(data[at + 4 : at + 4 + size], refs, self.columns, (part.base + start << 16) + dropped + at)
                     at += 4 + size
                 cut = min(at, own)
                 data, at, own, dropped = data[cut:], at - cut, own - cut, dropped + cut
@@ -308,14 +339,38 @@ def deflate(data: bytes, level: int = 6) -> bytes:
 
 
 class Done(WriterCommitMessage):
-    pass
+    """A task's finished file and the name it shall have."""
+
+    def __init__(self, temp: str, path: str):
+        self.temp, self.path = temp, path
 
 
 class BamWriter(DataSourceWriter):
-    """Every task writes a complete file with the header; names say the task."""
+    """Every task writes a complete file with the header under a hidden name, in the output
+    folder that driver and executors share. Only when all are done does the driver give
+    them their names, after it has removed an earlier run's files if the mode says so; a
+    run that fails leaves nothing that a reader takes for data."""
+
+    def __init__(self, folder: str, header: str, level: int, overwrite: bool = False):
+        self.folder, self.header, self.level, self.overwrite = folder, header, level, overwrite
+
+    def commit(self, messages):
+        import glob
+        import os
+
+        new = [m for m in messages if m is not None]
+        if self.overwrite:
+            for old in glob.glob(f"{glob.escape(self.folder)}/part-*.bam"):
+                os.remove(old)
+        for m in new:
+            os.replace(m.temp, m.path)
+
+    def abort(self, messages):
+        import os
 
-    def __init__(self, folder: str, header: str, level: int):
-        self.folder, self.header, self.level = folder, header, level
+        for m in messages:
+            if m is not None and os.path.exists(m.temp):
+                os.remove(m.temp)
 
     def write(self, rows):
         import os
@@ -334,8 +389,8 @@ class BamWriter(DataSourceWriter):
         for name, n in refs:
             head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<I", n & 0xFFFFFFFF)
         ids = {name: k for k, (name, _) in enumerate(refs)}
-        # A repeated attempt writes its own file first; the last rename wins whole.
-        path = f"{self.folder}/part-{part:05d}.bam"
+        run = "" if self.overwrite else f"-{os.urandom(4).hex()}"  # files of an earlier run stay beside these
+        path = f"{self.folder}/part-{part:05d}{run}.bam"
         temp = f"{self.folder}/.part-{part:05d}-{TaskContext.get().taskAttemptId()}"
         with open(temp, "wb") as f:
             pending = head
@@ -347,8 +402,7 @@ class BamWriter(DataSourceWriter):
             if pending:
                 f.write(deflate(pending, self.level))
             f.write(EOF_BLOCK)
-        os.replace(temp, path)
-        return Done()
+        return Done(temp, path)
 
 
 class BamSource(DataSource):
@@ -362,10 +416,10 @@ class BamSource(DataSource):
     def reader(self, schema):
         cols = self.options.get("columns")
         chosen = {c.strip() for c in cols.split(",")} if cols else {f.name for f in ALIGNMENTS.fields}
-        return BamReader(self.options["path"], int(self.options.get("runBytes", 32 << 20)), chosen)
+        return BamReader(self.options["path"], int(self.options.get("runBytes", 32 << 20)), chosen, self.options.get("failOnTruncated", "false").lower() == "true")
 
     def writer(self, schema, overwrite):
-        return BamWriter(self.options["path"], self.options.get("header", ""), int(self.options.get("level", 6)))
+        return BamWriter(self.options["path"], self.options.get("header", ""), int(self.options.get("level", 6)), overwrite)
 
 
 def register(spark: SparkSession) -> None:

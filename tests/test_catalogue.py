@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from basestream.plans import catalogue
+from basestream.plans import catalogue, further  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
