@@ -211,14 +211,14 @@ def _piled(bases: DataFrame, predicate: Callable[[], Column] | Column | None) ->
     insertion. Depth, not the table, bounds a column."""
     kept = bases if predicate is None else bases.where(predicate() if callable(predicate) else predicate)
     # Columns that other reads insert before a gap's own are steps of its quality too.
-    wide = kept.where("nth > 0").groupBy("ref_id", "pos").agg(F.max("nth").alias("width"))
+    wide = kept.where("inserts and nth > 0").groupBy("ref_id", "pos").agg(F.max("nth").alias("width"))
     w = Window.partitionBy("file_ord", "chain", "skip").orderBy("pos", "nth").rowsBetween(Window.unboundedPreceding, -1)
     over = kept.where("gapped").join(wide, ["ref_id", "pos"], "left")
     more = F.coalesce(F.sum(F.when(F.col("tail"), F.coalesce("width", F.col("nth")) - F.col("nth"))).over(w), F.lit(0)).cast("int")
     stepped = over.withColumn("qual", F.when(F.col("steps") > 0, _halved("before_qual", F.col("steps") + more)).otherwise(F.col("qual")))
     every = kept.where("not gapped").unionByName(stepped.drop("width"))
     entry = F.struct("file_ord", "nth", "shown", "sign", "qual", "next_qual", "tail", "ended")
-    return every.groupBy("ref_id", "pos").agg(F.array_sort(F.collect_list(entry)).alias("c"), F.max("nth").alias("width"))
+    return every.groupBy("ref_id", "pos").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.max("nth").alias("width"))
 
 
 def _halved(start: Column | str, steps: Column, to: Column | str = "next_qual") -> Column:
@@ -234,10 +234,13 @@ def pileup(bases: DataFrame, predicate: Callable[[], Column] | Column | None = N
     from basestream.functions.sequence import quality_char
 
     at_end = lambda x: F.when(x["ended"], x["qual"]).otherwise(_halved(x["qual"], F.col("width") - x["nth"], x["next_qual"]))
+    # Where nothing is inserted, every entry is a base of its own.
+    plain = F.col("width") == 0
     return _piled(bases, predicate).select(
-        "ref_id", "pos", F.size(F.filter("c", lambda x: x["nth"] == 0)).cast("long").alias("depth"),
-        F.array_join(F.transform("c", lambda x: x["shown"]), "").alias("bases"),
-        F.array_join(F.transform(F.filter("c", lambda x: x["tail"]), lambda x: quality_char(at_end(x))), "").alias("quals"),
+        "ref_id", "pos", F.when(plain, F.size("c")).otherwise(F.size(F.filter("c", lambda x: x["nth"] == 0))).cast("long").alias("depth"),
+        F.array_join(F.col("c.shown"), "").alias("bases"),
+        F.when(plain, F.array_join(F.transform("c.qual", quality_char), ""))
+        .otherwise(F.array_join(F.transform(F.filter("c", lambda x: x["tail"]), lambda x: quality_char(at_end(x))), "")).alias("quals"),
     )
 
 
@@ -294,10 +297,13 @@ def read_bases(aln: DataFrame) -> DataFrame:
     letters = F.regexp_replace(F.upper("seq"), "[^ACMGRSVTWYHKDB]", "N")
     given = lambda c: F.when((F.col(c) == "*") | (F.col(c) == ""), F.array().cast("array<string>"))
     # Explode keeps the parts columns of their own, made once a read.
-    parts = F.struct(
-        given("seq").otherwise(F.split(letters, "")).alias("b"), given("qual").otherwise(F.split("qual", "")).alias("q"), _walked(cigar.parse(F.col("cigar"))).alias("ops")
+    whole = F.coalesce(F.col("cigar").rlike("^([0-9]+H)?([0-9]+S)?([1-9][0-9]*[M=X])+([0-9]+S)?([0-9]+H)?$"), F.lit(False))
+    letters_of = given("seq").otherwise(F.split(letters, "")).alias("b"), given("qual").otherwise(F.split("qual", "")).alias("q")
+    parts = F.struct(*letters_of, _walked(cigar.parse(F.col("cigar"))).alias("ops"))
+    told = ["gapped", "inserts"]
+    read = aln.where(~whole).select(
+        "ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.col("cigar").contains("D").alias("gapped"), F.col("cigar").rlike("[IP]").alias("inserts"), F.explode(F.array(parts)).alias("p")
     )
-    read = aln.select("ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.col("cigar").contains("D").alias("gapped"), F.explode(F.array(parts)).alias("p"))
     b, q, ops, n_ops = F.col("p.b"), F.col("p.q"), F.col("p.ops"), F.size("p.ops")
     score = lambda i: F.when(i < F.size(b), F.coalesce(F.ascii(F.get(q, i)) - 33, F.lit(255))).otherwise(255)
     following = lambda i: F.when(i < F.size(b), score(i)).otherwise(score(F.greatest(F.lit(0), i - 1)))
@@ -333,6 +339,20 @@ def read_bases(aln: DataFrame) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(0), o["len"] - 1), column)
 
-    every = read.select("ref_id", "at", "file_ord", "flag", "mapq", "gapped", F.explode(F.flatten(F.transform(ops, columns))).alias("c"))
+    every = read.select("ref_id", "at", "file_ord", "flag", "mapq", *told, F.explode(F.flatten(F.transform(ops, columns))).alias("c"))
     rest = [F.col(f"c.{k}") for k in ("nth", "sign", "shown", "qual", "next_qual", "before_qual", "steps", "chain", "skip", "tail", "ended")]
-    return every.select("ref_id", (F.col("at") + F.col("c.off")).alias("pos"), "file_ord", "flag", "mapq", "gapped", *rest)
+    walked = every.select("ref_id", (F.col("at") + F.col("c.off")).alias("pos"), "file_ord", "flag", "mapq", *told, *rest)
+    # Reads that match all along need no walk: their columns are plain expressions of a row a base.
+    matched = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+)[M=X]"), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))
+    clipped = F.coalesce(F.regexp_extract("cigar", "^(?:[0-9]+H)?([0-9]+)S", 1).try_cast("int"), F.lit(0))
+    along = F.struct(*letters_of, matched.alias("n"), clipped.alias("from"))
+    plain = aln.where(whole).select("ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.explode(F.array(along)).alias("p"))
+    k, j, ended = F.col("k"), F.col("p.from") + F.col("k"), F.col("k") == F.col("p.n") - 1
+    sign = F.coalesce(F.get(b, j), F.lit("N"))
+    made = {
+        "gapped": F.lit(False), "inserts": F.lit(False), "nth": F.lit(0), "sign": sign,
+        "shown": F.concat(F.when(k == 0, mark).otherwise(""), cased(sign), F.when(ended, "$").otherwise("")),
+        "qual": score(j).cast("int"), "next_qual": following(j + 1), "before_qual": F.lit(255), "steps": F.lit(0), "chain": j + 1, "skip": F.lit(0), "tail": F.lit(True), "ended": ended,
+    }
+    each = plain.select("*", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("k"))
+    return each.select("ref_id", (F.col("at") + k).alias("pos"), "file_ord", "flag", "mapq", *[v.alias(c) for c, v in made.items()]).unionByName(walked)

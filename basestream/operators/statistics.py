@@ -39,12 +39,20 @@ def entropy(values: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     return sums.select(*keys, "total", F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias("bits"))
 
 
-def text_entropy(text: Column) -> Column:
-    """Entropy in bits per character of one string, without a row per character."""
+def text_entropy(text: Column, usual: str = "ACGTN") -> Column:
+    """Entropy in bits per character of one string, without a row per character. Strings of
+    the ``usual`` symbols alone are counted without being taken apart."""
     n = F.length(text)
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k.cast("double")))
-    return F.round(F.log2(n.cast("double")) - total / n, 6)
+    count = lambda c: n - F.length(F.replace(text, c, F.lit("")))
+    known = F.array(*[count(F.lit(c)) for c in usual])
+
+    def bits(counts: Column) -> Column:
+        total = F.aggregate(F.filter(counts, lambda k: k > 0), F.lit(0.0), lambda acc, k: acc + k * F.log2(k.cast("double")))
+        return F.round(F.log2(n.cast("double")) - total / n, 6)
+
+    apart = F.transform(F.array_distinct(F.split(text, "")), count)
+    return F.get(F.transform(F.array(known), lambda k: bits(F.when(F.aggregate(k, F.lit(0), lambda a, x: a + x) == n, k).otherwise(apart))), 0)
+
 
 
 def run_benefit(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
