@@ -25,8 +25,9 @@ apart, so the space is first cut losslessly into blocks:
    again and again while that separates it; what pivots can't separate is compared in
    tiles of bounded size. Nothing is capped or sampled.
 
-Only whole groups are wanted, so pairs already in one group aren't compared again: a
-group of near copies costs about one comparison per copy, not one per pair.
+For whole groups, pairs already in one group aren't compared again: a group of near copies
+costs about one comparison per copy, not one per pair. The number of links of every row
+(``count_links``) takes the other pairs of each group as well; they are counted, not emitted.
 
 Shingles are 64-bit hashes; two different shingles agree with probability 2**-64.
 
@@ -676,6 +677,43 @@ def join_large(members: DataFrame, n: int, t: Fraction, limit: int, parts: int,
     return links[0]
 
 
+def link_counts(members: DataFrame, texts: DataFrame, n: int, t: Fraction, tile_shingles: int, parts: int) -> DataFrame:
+    """members: (block, cls, n_shingles, copies). (cls, links): how many documents of other
+    classes each class is linked to. A block is cut into k x k tiles of bounded size;
+    every ordered pair of its members meets in one of them and is only counted, not emitted."""
+    shape = members.groupBy("block").agg(F.ceil(F.sum("n_shingles") / tile_shingles).cast("int").alias("k"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    dealt = members.join(shape, "block").select(
+        "block", "cls", "copies", F.sequence(F.lit(0), F.col("k") - 1).alias("ks"), *[F.pmod(F.xxhash64("cls", F.lit(i)), F.col("k")).cast("int").alias(x) for i, x in ((1, "own"), (2, "other"))]
+    )
+    x = dealt.select("block", "cls", "copies", F.lit(1).alias("side"), F.col("own").alias("tx"), F.explode("ks").alias("ty"))
+    y = dealt.select("block", "cls", "copies", F.lit(2).alias("side"), F.explode("ks").alias("tx"), F.col("other").alias("ty"))
+    tiles = x.unionByName(y).groupBy(F.xxhash64("block", "tx", "ty").alias("tile"), "cls").agg(F.max("copies").alias("copies"), F.sum("side").alias("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for _, rows in grouped(batches, 1):
+            block = Block([shingle(r[3]) for r in rows], t)
+            copies, side = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+            there = np.flatnonzero(side & 2)
+            there = there[np.argsort(block.size[there], kind="stable")]
+            sizes = block.size[there]
+            found = []
+            for i in np.flatnonzero(side & 1).tolist():
+                # Only sets of a size that can be linked.
+                low, high = -(-block.size[i] * block.num // block.den), block.size[i] * block.den // block.num
+                near = there[np.searchsorted(sizes, low) : np.searchsorted(sizes, high, "right")]
+                near = near[near != i]
+                if len(near):
+                    c = block.common(i, near)
+                    k = int(copies[near[linked(c, block.size[i], block.size[near], block.num, block.den)]].sum())
+                    if k:
+                        found.append((rows[i][0], k))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["cls", "links"])
+
+    rows = with_texts(tiles, texts).select("tile", "cls", "copies", "side", "text").repartition(parts, "tile").sortWithinPartitions("tile")
+    return rows.mapInArrow(returning(run), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+
+
 def representatives(members: DataFrame, n: int) -> DataFrame:
     """Keep the rows of ``members`` whose text has the class they stand for (an id
     may repeat with other texts)."""
@@ -696,9 +734,11 @@ def light(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_shingles: int = 1_000_000, bucket_tokens: int = 250_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_shingles: int = 1_000_000, bucket_tokens: int = 250_000, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; component_id is the
-    least doc_id reachable by links."""
+    least doc_id reachable by links. With ``count_links`` also n_links, the number of other
+    rows (with an id) that the row is linked to, equal texts included; then pairs inside a
+    group are compared too, which takes time with the square of a group's size."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     t = Fraction(threshold)
@@ -727,8 +767,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_sh
         signed = candidate_edges(plain.join(light(signing), "doc_id", "left_semi"), n, t, buckets, parts)
         candidates = close.unionByName(signed)
     blocks = connected(candidates).select(F.col("node").alias("cls"), F.col("root").alias("block"))
-    placed = materialise(owners.join(blocks, "cls").where("rep is not null").select("block", "cls", "n_shingles", F.col("rep").alias("doc_id")))
-    members = plain.join(light(placed), "doc_id").select("block", "cls", "n_shingles", "text")
+    placed = materialise(owners.join(blocks, "cls").where("rep is not null").select("block", "cls", "n_shingles", "copies", F.col("rep").alias("doc_id")))
+    members = plain.join(light(placed.drop("copies")), "doc_id").select("block", "cls", "n_shingles", "text")
     large = placed.groupBy("block").agg(F.sum("n_shingles").alias("amount")).where(F.col("amount") > block_shingles).select("block")
 
     if large.isEmpty():
@@ -742,10 +782,16 @@ def jaccard_groups(docs: DataFrame, n: int = 3, threshold: str = "0.9", block_sh
     roots = materialise(edges)
     grouped_ = owners.join(roots, owners["cls"] == roots["a"], "left").select("cls", "rep", "copies", F.col("a").isNotNull().alias("moved"), F.coalesce("b", "cls").alias("root"))
     least_ = grouped_.groupBy("root").agg(F.min("rep").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
-    found = materialise(grouped_.join(least_, "root").select("cls", "component"))
-    return known.join(light(found), "cls", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    )
+    found = materialise(grouped_.join(least_, "root").select("cls", "component", "copies"))
+    out = [F.col("doc_id"), F.col("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
+    if count_links:
+        # No link leaves a group, so only groups are cut into tiles.
+        groups = materialise(found.join(owners.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls").select(F.col("component").alias("block"), "cls", "n_shingles", "copies", "doc_id"))
+        texts = materialise(representatives(plain.join(light(groups.select("cls", "doc_id")), "doc_id").select("cls", "text"), n).dropDuplicates(["cls"]))
+        links = link_counts(groups, texts, n, t, block_shingles // 4, parts)
+        found = materialise(found.join(links, "cls", "left"))
+        out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+    return known.join(light(found), "cls", "left").select(*out)
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8", **options) -> DataFrame:

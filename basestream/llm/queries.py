@@ -40,7 +40,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), count_links=True)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

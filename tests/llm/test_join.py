@@ -130,3 +130,15 @@ def test_keep_one_decides_by_row(spark):
     kept = J.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", copy), ("2", other), ("None", "x y z u v w t")]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 600])
+def test_number_of_links(spark, limit):
+    docs = near() + [(5000 + k, "the very same text in many rows", "en", "s", 0) for k in range(30)]
+    sets = {}
+    for d, x, *_ in docs:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in x or "").split()
+        sets[d] = {tuple(w[a : a + min(3, len(w))]) for a in range(len(w) - min(3, len(w)) + 1)} if w else set()
+    want = {a: sum(a != b and bool(s) and bool(r) and 10 * len(s & r) >= 9 * len(s | r) for b, r in sets.items()) for a, s in sets.items()}
+    got = J.jaccard_groups(frame(spark, docs), 3, "0.9", block_shingles=limit, count_links=True)
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) >= 29
