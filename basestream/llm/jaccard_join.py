@@ -808,3 +808,20 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8", **options) ->
     out = unused(keyed, "gone_id")
     gone = materialise(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(out)))
     return keyed.join(light(gone), F.col(key).cast("long") == F.col(out), "left_anti").select(*docs.columns)
+
+
+SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b using (g) where a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 100 * c >= 90 * (s.n + t.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select x, y from both_ways union select r.x, b.y from reach r join both_ways b on r.y = b.x),
+least as (select x, min(y) as y from reach group by 1),
+degree as (select x, count(*) as n_links from both_ways group by 1)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) as component_id, coalesce(e.n_links, 0) as n_links
+from documents d left join sizes s using (doc_id) left join least l on l.x = d.doc_id left join degree e on e.x = d.doc_id
+"""

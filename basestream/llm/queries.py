@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op4_decontamination": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op4_decontamination": decontaminate.SQL, "op9_jaccard_join": jaccard_join.SQL}
