@@ -122,9 +122,16 @@ def prefix_or_name_filter(spark, d):
 
 @query("select page_id, string_agg(c, ',' order by c) as kept from (select page_id, unnest(['BASE','CNF4','SMP4:PROC','SMP4:SLXI','CNF1','REGN']) as c from pages) where c in ('BASE','CNF4','SMP4:PROC') or (c = 'REGN' and page_id % 2 = 0) group by page_id")
 def chunk_filter(spark, d):
-    chunks = F.array(*[F.lit(c) for c in ("BASE", "CNF4", "SMP4:PROC", "SMP4:SLXI", "CNF1", "REGN")])
-    kept = F.filter(chunks, lambda c: c.isin("BASE", "CNF4", "SMP4:PROC") | ((c == "REGN") & (F.col("page_id") % 2 == 0)))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(kept), ",").alias("kept"))
+    from basestream.sources.archives import keep_chunks
+
+    made = lambda kind, process=None: F.struct(
+        kind.alias("type"), (F.create_map(F.lit("TYPE"), F.lit(process)) if process else F.create_map().cast("map<string,string>")).alias("metadata")
+    )
+    region = F.when(F.col("page_id") % 2 == 0, "REGN").otherwise("TEXT")
+    chunks = F.array(made(F.lit("BASE")), made(F.lit("CNF4")), made(F.lit("SMP4"), "PROC"), made(F.lit("SMP4"), "SLXI"), made(F.lit("CNF1")), made(region))
+    kept = keep_chunks(chunks, ["BASE", "CNF4", "SMP4", "REGN"], ["PROC"])
+    shown = F.transform(kept, lambda c: F.concat_ws(":", c["type"], F.element_at(c["metadata"], "TYPE")))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(shown), ",").alias("kept"))
 
 
 # --- order, merge, slices, index ---------------------------------------------------
@@ -475,13 +482,13 @@ def channel_background(spark, d):
     return halves.select("vec_id", signal.channel_background(F.col("x"), F.col("y"))[0].alias("a"))
 
 
-RANGE = """ids as (select distinct user_id, event_id from events where event_id % 7 < 4 and event_id % 11 <> 3),
+RANGE = """ids as (select distinct user_id, event_id from events),
 g as (select user_id % 20 as k, event_id, event_id - row_number() over (partition by user_id % 20 order by event_id) as g from (select distinct user_id % 20 as user_id, event_id from ids)),
 r as (select k, min(event_id) as a, max(event_id) as b from g group by k, g)"""
 
 
 def _ids(spark, d):
-    return table(spark, d, "events").where("event_id % 7 < 4 and event_id % 11 <> 3").select((F.col("user_id") % 20).alias("k"), "event_id")
+    return table(spark, d, "events").select((F.col("user_id") % 20).alias("k"), "event_id")
 
 
 @query("with " + RANGE + "select k, string_agg(case when a = b then '' || a else a || '..' || b end, ' ' order by a) as ranges from r group by k")
@@ -489,7 +496,7 @@ def range_string(spark, d):
     return signal.range_strings(_ids(spark, d), "event_id", ["k"])
 
 
-@query("select distinct user_id % 20 as k, event_id as value from events where event_id % 7 < 4 and event_id % 11 <> 3")
+@query("select distinct user_id % 20 as k, event_id as value from events")
 def range_expand(spark, d):
     return signal.expand_ranges(signal.range_strings(_ids(spark, d), "event_id", ["k"]), "ranges", ["k"])
 

@@ -296,6 +296,6 @@ def pileup_indel(spark, d):
     return long(al.pileup(al.read_bases(reads)).drop("quals"))
 
 
-@query("with " + SEQS + "select doc_id, regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g') as seq from seqs where length(seq) % 60 <> 0")
+@query("with " + SEQS + "select doc_id, rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) as seq from seqs")
 def plain_lines(spark, d):
-    return sequences(spark, d).where(F.length("seq") % 60 != 0).select("doc_id", sequence.wrap(F.col("seq")).alias("seq"))
+    return sequences(spark, d).select("doc_id", sequence.wrap(F.col("seq")).alias("seq"))

@@ -10,10 +10,12 @@ own binary reader where only that can reach them.
 
 from __future__ import annotations
 
+import operator
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -25,6 +27,7 @@ from basestream.model import ALIGNMENTS
 
 #: Base codes, CIGAR operations, the empty block that ends a file.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+SIZE = struct.Struct("<i").unpack_from
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 PAIRS = [a + b for a in BASES for b in BASES]
 SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
@@ -198,6 +201,18 @@ def decode(d: bytes, refs: list[tuple[str, int]], columns: set[str], order: int)
     return tuple(row[f.name] if f.name in columns else None for f in ALIGNMENTS.fields)
 
 
+#: Columns that the fixed part of a record holds, and that part after its size.
+FIXED = {"flag": "flag", "ref_id": "ref", "pos": "pos", "mapq": "mapq", "mate_ref_id": "mate", "pnext": "mate_pos", "tlen": "tlen", "file_ord": ""}
+LAYOUT = np.dtype([
+    ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4"),
+])
+
+
+def fixed_parts(data: bytes, places: list[int]) -> np.ndarray:
+    at = np.array(places)[:, None] + np.arange(4, 4 + LAYOUT.itemsize)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8)[at]).view(LAYOUT).ravel()
+
+
 class Run(InputPartition):
     """Blocks that begin in [start, end) of a file; inside: where its first record begins in
     its first block, if the header ends there. base: bytes of the files before."""
@@ -247,8 +262,12 @@ class BamReader(DataSourceReader):
             base += size
         return runs
 
-    def read(self, part: Run) -> Iterator[tuple]:
-        compare = {"==": int.__eq__, ">": int.__gt__, ">=": int.__ge__, "<": int.__lt__, "<=": int.__le__}
+    def read(self, part: Run) -> Iterator:
+        """Rows; or, where all wanted columns stand in the fixed part of a record, Arrow batches."""
+        compare = {"==": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+        fixed = self.columns <= set(FIXED)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
         with open(part.path, "rb") as f:
             refs = Header.read(f).refs
             start = part.start if part.inside >= 0 else next_block(f, part.start)
@@ -256,12 +275,11 @@ class BamReader(DataSourceReader):
                 return
             data, at, own, synced = b"", max(part.inside, 0), 0, part.inside >= 0
             dropped = 0
-            stream = blocks(f, start)
-            for offset, d in stream:
+            for offset, d in blocks(f, start):
                 if offset >= part.end:
                     # Only the rest of the last own record is still needed.
                     if at >= own or not synced:
-                        return
+                        break
                 else:
                     own = len(data) + len(d)
                 data += d
@@ -270,16 +288,48 @@ class BamReader(DataSourceReader):
                     if found is None:
                         continue
                     at, synced = found, True
+                places = []
                 while at < own and len(data) >= at + 4:
-                    size = struct.unpack_from("<i", data, at)[0]
-                    if len(data) < at + 4 + size:
+                    end = at + 4 + SIZE(data, at)[0]
+                    if len(data) < end:
                         break
-                    ref, pos = struct.unpack_from("<ii", data, at + 4)
-                    if all(compare[op]({"ref_id": ref, "pos": pos}[c], v) for c, op, v in self.tests):
-                        yield decode(data[at + 4 : at + 4 + size], refs, self.columns, (part.base + start << 16) + dropped + at)
-                    at += 4 + size
+                    places.append(at)
+                    at = end
+                base = (part.base + start << 16) + dropped
+                if places:
+                    told = fixed_parts(data, places)
+                    order = np.array(places, np.int64) + base
+                    good = np.ones(len(places), bool)
+                    for c, op, v in self.tests:
+                        good &= compare[op](told[FIXED[c]], v)
+                    if fixed:
+                        held.append((told[good], order[good]))
+                        waiting += len(held[-1][1])
+                        if waiting >= 20_000:
+                            yield self._batch(held)
+                            held, waiting = [], 0
+                    else:
+                        for k in np.flatnonzero(good).tolist():
+                            here, end = places[k], places[k + 1] if k + 1 < len(places) else at
+                            yield decode(data[here + 4 : end], refs, self.columns, int(order[k]))
                 cut = min(at, own)
                 data, at, own, dropped = data[cut:], at - cut, own - cut, dropped + cut
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        told, order = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        cols = []
+        for f in to_arrow_schema(ALIGNMENTS):
+            if f.name == "file_ord" and f.name in self.columns:
+                cols.append(pa.array(order))
+            elif f.name in self.columns:
+                cols.append(pa.array(told[FIXED[f.name]].astype(f.type.to_pandas_dtype())))
+            else:
+                cols.append(pa.nulls(len(order), f.type))
+        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in ALIGNMENTS.fields])
 
 
 def encode(row, refs: dict[str, int]) -> bytes:

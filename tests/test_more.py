@@ -112,6 +112,11 @@ def test_bam_overwrite_folders_and_cut_files(spark, tmp_path):
     df.limit(10).coalesce(1).write.format("bam").mode("append").option("header", HEADER).save(folder)
     assert spark.read.format("bam").load(folder).count() == 3010
     assert detect.detect(spark, sorted(bam.files_of(folder))[0]) == "bam" and detect.open_alignments(spark, sorted(bam.files_of(folder))[0]).count() > 0
+    quick = spark.read.format("bam").option("runBytes", 15_000).option("columns", "flag,ref_id,pos,mapq,mate_ref_id,pnext,tlen,file_ord").load(folder)
+    fields = ["file_ord", "flag", "ref_id", "pos", "mapq", "mate_ref_id", "pnext", "tlen"]
+    full = spark.read.format("bam").option("runBytes", 15_000).load(folder)
+    assert sorted(quick.select(*fields).collect()) == sorted(full.select(*fields).collect()) and quick.where("seq is not null or qname is not null").count() == 0
+    assert quick.where("ref_id = 1 and pos >= 6000").count() == full.where("ref_id = 1 and pos >= 6000").count() > 0
     whole = max((open(x, "rb").read() for x in bam.files_of(folder)), key=len)
     (tmp_path / "cut.bam").write_bytes(whole[:-40])
     assert 0 < spark.read.format("bam").load(str(tmp_path / "cut.bam")).count() < 3000
