@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def _pattern(patterns: list[str]) -> str:
-    """Two-character patterns with classes and ``.``, as one anchored expression."""
+    """Two-character patterns of letters, digits, classes and ``.``, as one anchored expression."""
+    for p in patterns:
+        if not re.fullmatch(r"(\[\^?[A-Za-z0-9-]+\]|[A-Za-z0-9.]){2}", p):
+            raise ValueError(f"{p!r} is no pattern of a tag's two characters")
     return "^(" + "|".join(patterns) + ")$"
 
 

@@ -27,11 +27,13 @@ def _text(data: bytes, at: int) -> tuple[bytes, int]:
     return data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
 
 
-def archive_reads(data: bytes) -> Iterator[tuple[int, int, str, int, list]]:
+def archive_reads(data: bytes, ended: list[int] | None = None) -> Iterator[tuple[int, int, str, int, list]]:
     """(order, header number, name, flags, chunks). Concatenated archives are read on; a
-    block that is cut off ends the archive."""
+    block that is cut off or unknown ends the archive, at the place that ``ended`` is given."""
     at, header, prefix, head_no, order = 0, b"", b"", -1, 0
+    ended = [0] if ended is None else ended
     while at < len(data):
+        ended[:] = [at]
         kind = data[at : at + 1]
         if kind == b"\0":  # the eight bytes of an absent index
             at += 8
@@ -57,6 +59,7 @@ def archive_reads(data: bytes) -> Iterator[tuple[int, int, str, int, list]]:
             chunks = [(t, _metadata(m), len(d), d) for t, m, d in ztr_chunks(whole)]
             yield order, head_no, (prefix + suffix).decode("latin-1"), block[5], chunks
             order += 1
+    ended[:] = [min(at, len(data))]
 
 
 def _metadata(m: bytes) -> list[tuple[str, str]]:
@@ -253,3 +256,20 @@ def extract_named(reads: DataFrame, index: DataFrame, names: DataFrame, buckets:
     asked = names.select("name").distinct().select("name", F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.shiftrightunsigned(h, 57).cast("int").alias("check"))
     hits = index.join(asked, ["bucket", "check", "name"], "left_semi").select("archive", "ord")
     return reads.join(hits, ["archive", "ord"], "left_semi")
+
+
+def archive_ends(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, size, read_to, reads): where reading of each archive ends; an archive that
+    is cut off, or has a block of no known kind, ends before its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ended = [0]
+                n = sum(1 for _ in archive_reads(data, ended))
+                rows.append((name, len(data), ended[0], n))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=["archive", "size", "read_to", "reads"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, size long, read_to long, reads long")

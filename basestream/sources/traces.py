@@ -7,7 +7,6 @@ written. Cut-off or unknown files give no record unless ``fail`` is set.
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from basestream.functions.codecs import open_bytes
 from basestream.model import TRACES
 
 ZTR_MAGIC = b"\xaeZTR\r\n\x1a\n"
@@ -342,9 +342,10 @@ def read_plain(text: str) -> dict:
 
 
 def decode(name: str, data: bytes) -> list[dict]:
+    plain = open_bytes(data)  # gzip, bzip2 and xz
+    if plain is not data:
+        return decode(name, plain)
     kind = sniff(data)
-    if kind == "GZIP":
-        return decode(name, gzip.decompress(data))
     if kind == "SFF":
         return list(read_sff(data))
     from basestream.sources.abif import read_abif
@@ -359,7 +360,12 @@ def decode(name: str, data: bytes) -> list[dict]:
     return [r | {"trace_name": r["trace_name"] or name.rsplit("/", 1)[-1]}]
 
 
-def read_traces(spark: SparkSession, path: str | list[str], fail: bool = False) -> DataFrame:
+UNREADABLE = (ValueError, struct.error, zlib.error, IndexError, KeyError, EOFError, OSError)
+
+
+def read_traces(spark: SparkSession, path: str | list[str], fail: bool = True) -> DataFrame:
+    """Traces of files of any known format, compressed or not. A file that can't be
+    decoded is an error; without ``fail`` it has no rows here, and one in ``bad_traces``."""
     names = [f.name for f in TRACES.fields]
     kinds = to_arrow_schema(TRACES)
 
@@ -369,11 +375,27 @@ def read_traces(spark: SparkSession, path: str | list[str], fail: bool = False)
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     rows += decode(name, data)
-                except (ValueError, struct.error, zlib.error, IndexError, KeyError, EOFError):
+                except UNREADABLE as e:
                     if fail:
-                        raise
+                        raise ValueError(f"{name} can't be decoded: {e!r}") from e
             for r in rows:
                 r["info"] = list(r["info"].items()) if r["info"] is not None else None
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.field(n).type) for n in names], names=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, TRACES)
+
+
+def bad_traces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, error) of the files that ``read_traces`` can't decode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    decode(name, data)
+                except UNREADABLE as e:
+                    rows.append((name, repr(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["path", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, error string")

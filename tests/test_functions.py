@@ -125,3 +125,16 @@ def test_pileup_walks_the_cigar(spark):
     assert [cols[0, 12, n] for n in range(3)] == [(3, "GGG", text(32, 30, 21)), (3, "G**", text(33, 20, 31)), (3, "G**", text(34, 15, 36))]
     assert cols[0, 13, 0] == (3, "A*.", text(35, 13, 0)) and (0, 13, 1) not in cols
     assert [cols[2, 6, n][1:] for n in range(5) if (2, 6, n) in cols] == [("C", text(24)), ("G", text(25)), ("G", text(26)), ("*", text(26)), ("T", text(27))]
+
+
+def test_tag_patterns_are_no_free_expressions(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from basestream.functions import tags
+
+    df = spark.createDataFrame([({"XA": 1, "NM": 2},)], "t map<string,int>")
+    assert df.select(tags.keep(F.col("t"), ["X[A-C]"])).first()[0] == {"XA": 1} and df.select(tags.drop(F.col("t"), ["[^X]."])).first()[0] == {"XA": 1}
+    for bad in ("X", "X.*", "(X|N)A", "XAB"):
+        with pytest.raises(ValueError):
+            tags.keep(F.col("t"), [bad])

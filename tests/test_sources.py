@@ -1,3 +1,4 @@
+import bz2
 import glob
 import os
 import random
@@ -107,8 +108,13 @@ def test_sff(spark, tmp_path):
     (tmp_path / "c.txt").write_text(">seq\nACGTN\nACGT\n>other\nAC\n")
     (tmp_path / "d.exp").write_text(traces.write_experiment({"ID": ["e1"], "QL": ["2"], "QR": ["7"], "SQ": ["ACGTACGTAC"]}))
     (tmp_path / "e.bin").write_bytes(b"\0\1\2")
-    got = {r["trace_name"]: r for r in traces.read_traces(spark, str(tmp_path) + "/*").collect()}
-    assert set(got) == {"r1", "r2", "b.scf", "seq", "e1"}
+    (tmp_path / "f.txt.bz2").write_bytes(bz2.compress(b">packed\nACG\n"))
+    got = {r["trace_name"]: r for r in traces.read_traces(spark, str(tmp_path) + "/*", fail=False).collect()}
+    assert set(got) == {"r1", "r2", "b.scf", "seq", "e1", "packed"}
+    (bad,) = traces.bad_traces(spark, str(tmp_path) + "/*").collect()
+    assert bad["path"].endswith("/e.bin") and "unknown trace format" in bad["error"]
+    with pytest.raises(Exception, match="can't be decoded"):
+        traces.read_traces(spark, str(tmp_path) + "/*").count()
     assert (got["r1"]["base_pos"], got["r1"]["left_cutoff"], got["r1"]["right_cutoff"], got["r2"]["right_cutoff"]) == ([1, 3, 3], 2, 3, 4)
     assert got["seq"]["base"] == "ACGT-ACGT"
     assert (got["e1"]["left_cutoff"], got["e1"]["right_cutoff"], got["e1"]["base"]) == (2, 7, "ACGTACGTAC")
@@ -138,6 +144,9 @@ def test_read_archive(spark, tmp_path):
         data += block(b"R", bytes([k == 3]) + short(b"%d" % k) + chunk(b"BASE", b"\0ACGT") + chunk(b"SMP4", b"\0" * 10, b"TYPE\0SLXI\0" if k % 2 else b""))
     data += b"\0" * 8
     (tmp_path / "a.srf").write_bytes(data + data)
+    (tmp_path / "cut.srf").write_bytes(data[:-30])
+    ends = {r["archive"].rpartition("/")[2]: (r["size"], r["read_to"], r["reads"]) for r in archives.archive_ends(spark, str(tmp_path / "*.srf")).collect()}
+    assert ends["a.srf"] == (2 * len(data), 2 * len(data), 10) and ends["cut.srf"][1] < ends["cut.srf"][0] == len(data) - 30 and ends["cut.srf"][2] == 4
     reads = archives.read_archive(spark, str(tmp_path / "a.srf")).cache()
     assert [r["name"] for r in reads.orderBy("ord").collect()] == [f"run:{k}" for k in range(5)] * 2
     assert archives.good_reads(reads).count() == 8
