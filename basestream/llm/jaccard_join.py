@@ -62,6 +62,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def split_ranges(values: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted, evenly spread 64-bit values that fall into one of
+    ``buckets`` (under 2**32) equal ranges; only ranges that have some."""
+    if len(values):
+        bucket = (values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        yield from zip(bucket[start].tolist(), start.tolist(), [*start[1:].tolist(), len(values)])
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
@@ -369,8 +378,7 @@ def scan(docs: DataFrame, n: int, t: Fraction, buckets: int, parts: int, most_do
     (has an id, doc_id, shingles, class), ``pairs`` and ``hot`` as ``pairs_of`` has them.
     Tokens travel in packed arrays, one for each of ``buckets`` ranges of their values;
     the number of ranges follows the input."""
-    edges_ = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     columns = ["bucket", "tokens", "own", "names", "sizes", "docs"]
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,18 +389,17 @@ def scan(docs: DataFrame, n: int, t: Fraction, buckets: int, parts: int, most_do
         amount = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(told[0][3] % buckets, b"", b"", b"", b"", np.array(told, np.int64).tobytes())]
+            # Any range will do for the rows of documents; their ids and classes spread them.
+            rows = [(sum(x[1] * 31 + x[3] for x in told) % buckets, b"", b"", b"", b"", np.array(told, np.int64).tobytes())]
             if found:
                 names, sizes = np.array(list(found), np.int64), np.array(size, np.int64)
                 own = np.repeat(np.arange(len(names), dtype=np.uint16), [len(x) for x in found.values()])
                 token = mix(np.concatenate(list(found.values())) ^ M1)
                 order = np.argsort(token)
                 token, own = token[order], own[order]
-                cuts = [0, *np.searchsorted(token, edges_).tolist(), len(token)]
-                for k in range(buckets):
-                    if cuts[k] < cuts[k + 1]:
-                        here, index = np.unique(own[cuts[k] : cuts[k + 1]], return_inverse=True)
-                        rows.append((k, token[cuts[k] : cuts[k + 1]].tobytes(), index.astype(np.uint16).tobytes(), names[here].tobytes(), sizes[here].tobytes(), b""))
+                for k, a, z in split_ranges(token, buckets):
+                    here, index = np.unique(own[a:z], return_inverse=True)
+                    rows.append((k, token[a:z].tobytes(), index.astype(np.uint16).tobytes(), names[here].tobytes(), sizes[here].tobytes(), b""))
             told.clear()
             found.clear()
             size.clear()
@@ -434,7 +441,7 @@ def scan(docs: DataFrame, n: int, t: Fraction, buckets: int, parts: int, most_do
                 out += [(None, x, None) for x in packed(pairs)] + [(None, None, x) for x in packed(hot)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(3)], names=["docs", "pairs", "hot"])
 
-    shows = docs.mapInArrow(returning(show), "bucket int, tokens binary, own binary, names binary, sizes binary, docs binary")
+    shows = docs.mapInArrow(returning(show), "bucket long, tokens binary, own binary, names binary, sizes binary, docs binary")
     return materialise(shows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(returning(meet), "docs binary, pairs binary, hot binary"))
 
 
@@ -467,7 +474,6 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction, buckets: int,
     signatures first: of the classes that share one, a single class goes on and the others
     become edges, so a hot signature costs one entry per batch. Signatures travel as packed
     arrays per range of values (``buckets`` ranges, whose number follows the input)."""
-    edges_ = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
     def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(n), Signer(threshold)
@@ -484,15 +490,15 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction, buckets: int,
                 names = np.array(list(found), np.int64)
                 owner = np.repeat(np.arange(len(names)), [len(x) for x in found.values()])
                 sigs, own, a, z = stars(np.concatenate(list(found.values())), owner)
-                cuts = [0, *np.searchsorted(sigs, edges_).tolist(), len(sigs)]
                 rows = []
-                for k in range(buckets):
-                    part = own[cuts[k] : cuts[k + 1]]
-                    if len(part) or (k == 0 and len(a)):
-                        here, index = np.unique(part, return_inverse=True)
-                        pairs = np.stack([names[a], names[z]]).tobytes() if k == 0 else b""
-                        rows.append((k, sigs[cuts[k] : cuts[k + 1]].tobytes(), index.astype(np.uint16).tobytes(), names[here].tobytes(), pairs))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                if len(a):
+                    rows.append((int(names.sum()) % buckets, b"", b"", b"", np.stack([names[a], names[z]]).tobytes()))
+                for k, at_, to in split_ranges(sigs, buckets):
+                    here, index = np.unique(own[at_:to], return_inverse=True)
+                    rows.append((k, sigs[at_:to].tobytes(), index.astype(np.uint16).tobytes(), names[here].tobytes(), b""))
+                if not rows:
+                    continue
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["bucket", "sigs", "own", "names", "pairs"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +512,7 @@ def candidate_edges(docs: DataFrame, n: int, threshold: Fraction, buckets: int,
                     p = np.frombuffer(r[3], np.int64).reshape(2, -1)
                     yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
-    packed = docs.select("text").mapInArrow(returning(sign_batches), "bucket int, sigs binary, own binary, names binary, pairs binary")
+    packed = docs.select("text").mapInArrow(returning(sign_batches), "bucket long, sigs binary, own binary, names binary, pairs binary")
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(returning(meet), EDGES).distinct()
 
 
