@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basestream.model import DUPLICATE, MATE_UNMAPPED, PAIRED, PROPER, QC_FAIL, QUERY_OPS, READ1, READ2, REF_OPS, REVERSE, UNMAPPED
+from basestream.operators.ordering import parts_for
 
 
 def has(bit: int, flag: str = "flag") -> Column:
@@ -210,15 +211,19 @@ def _piled(bases: DataFrame, predicate: Callable[[], Column] | Column | None) ->
     """(ref_id, pos, c, width): the entries of a column by file_ord and nth, and its widest
     insertion. Depth, not the table, bounds a column."""
     kept = bases if predicate is None else bases.where(predicate() if callable(predicate) else predicate)
-    # Columns that other reads insert before a gap's own are steps of its quality too.
+    entry = F.struct("file_ord", "nth", "shown", "sign", "qual", "next_qual", "tail", "ended")
+    return stepped(kept).groupBy("ref_id", "pos").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.max("nth").alias("width"))
+
+
+def stepped(kept: DataFrame) -> DataFrame:
+    """``kept`` with the qualities of gaps: columns that other reads insert before a gap's
+    own are steps of its quality too."""
     wide = kept.where("inserts and nth > 0").groupBy("ref_id", "pos").agg(F.max("nth").alias("width"))
     w = Window.partitionBy("file_ord", "chain", "skip").orderBy("pos", "nth").rowsBetween(Window.unboundedPreceding, -1)
     over = kept.where("gapped").join(wide, ["ref_id", "pos"], "left")
     more = F.coalesce(F.sum(F.when(F.col("tail"), F.coalesce("width", F.col("nth")) - F.col("nth"))).over(w), F.lit(0)).cast("int")
-    stepped = over.withColumn("qual", F.when(F.col("steps") > 0, _halved("before_qual", F.col("steps") + more)).otherwise(F.col("qual")))
-    every = kept.where("not gapped").unionByName(stepped.drop("width"))
-    entry = F.struct("file_ord", "nth", "shown", "sign", "qual", "next_qual", "tail", "ended")
-    return every.groupBy("ref_id", "pos").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.max("nth").alias("width"))
+    told = over.withColumn("qual", F.when(F.col("steps") > 0, _halved("before_qual", F.col("steps") + more)).otherwise(F.col("qual")))
+    return kept.where("not gapped").unionByName(told.drop("width"))
 
 
 def _halved(start: Column | str, steps: Column, to: Column | str = "next_qual") -> Column:
@@ -282,6 +287,22 @@ def _walked(ops: Column) -> Column:
     return F.aggregate(F.filter(ops, lambda o: o["len"] > 0), zero, step, lambda a: a["out"])
 
 
+def match_all_along() -> tuple[Column, Column, Column]:
+    """Whether a read needs no walk of its CIGAR; then, how many bases match and how many are clipped before."""
+    whole = F.coalesce(F.col("cigar").rlike("^([0-9]+H)?([0-9]+S)?([1-9][0-9]*[M=X])+([0-9]+S)?([0-9]+H)?$"), F.lit(False))
+    matched = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+)[M=X]"), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))
+    # One operation, as most reads have, is a number and a sign.
+    matched = F.coalesce(F.substring("cigar", F.lit(1), F.length("cigar") - 1).try_cast("int"), matched)
+    clipped = F.when(F.contains("cigar", F.lit("S")), F.coalesce(F.regexp_extract("cigar", "^(?:[0-9]+H)?([0-9]+)S", 1).try_cast("int"), F.lit(0))).otherwise(0)
+    return whole, matched, clipped
+
+
+def _letters() -> tuple[Column, Column]:
+    letters = F.regexp_replace(F.upper("seq"), "[^ACMGRSVTWYHKDB]", "N")
+    given = lambda c: F.when((F.col(c) == "*") | (F.col(c) == ""), F.array().cast("array<string>"))
+    return given("seq").otherwise(F.split(letters, "")).alias("b"), given("qual").otherwise(F.split("qual", "")).alias("q")
+
+
 def read_bases(aln: DataFrame) -> DataFrame:
     """One row per column of a read along its CIGAR (needs cigar, seq and qual as in
     alignment text): reference columns have nth 0, inserted and padded ones nth 1 on.
@@ -291,17 +312,37 @@ def read_bases(aln: DataFrame) -> DataFrame:
     strand, +len before inserted bases, * in deletions, . in skips. ``sign`` is the base
     alone. Clips and insertions before the first column have none. Gaps take the mean of
     the quality before and of the next base, skips 0, bases past the sequence are N of 255."""
+    from basestream.functions.sequence import quality_char
+
+    whole, matched, clipped = match_all_along()
+    walked = walked_bases(aln.where(~whole))
+    # Reads that match all along need no walk: their columns are plain expressions of a row a base.
+    along = F.struct(*_letters(), matched.alias("n"), clipped.alias("from"))
+    plain = aln.where(whole).select("ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.explode(F.array(along)).alias("p"))
+    b, q = F.col("p.b"), F.col("p.q")
+    score = lambda i: F.when(i < F.size(b), F.coalesce(F.ascii(F.get(q, i)) - 33, F.lit(255))).otherwise(255)
+    following = lambda i: F.when(i < F.size(b), score(i)).otherwise(score(F.greatest(F.lit(0), i - 1)))
+    mark = F.concat(F.lit("^"), quality_char(F.col("mapq")))
+    k, j, ended = F.col("k"), F.col("p.from") + F.col("k"), F.col("k") == F.col("p.n") - 1
+    sign = F.coalesce(F.get(b, j), F.lit("N"))
+    made = {
+        "gapped": F.lit(False), "inserts": F.lit(False), "nth": F.lit(0), "sign": sign,
+        "shown": F.concat(F.when(k == 0, mark).otherwise(""), F.when(has(REVERSE), F.lower(sign)).otherwise(sign), F.when(ended, "$").otherwise("")),
+        "qual": score(j).cast("int"), "next_qual": following(j + 1), "before_qual": F.lit(255), "steps": F.lit(0), "chain": j + 1, "skip": F.lit(0), "tail": F.lit(True), "ended": ended,
+    }
+    each = plain.select("*", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("k"))
+    return each.select("ref_id", (F.col("at") + k).alias("pos"), "file_ord", "flag", "mapq", *[v.alias(c) for c, v in made.items()]).unionByName(walked)
+
+
+def walked_bases(aln: DataFrame) -> DataFrame:
+    """``read_bases`` of reads whose CIGAR is walked in higher-order functions."""
     from basestream.functions import cigar
     from basestream.functions.sequence import quality_char
 
-    letters = F.regexp_replace(F.upper("seq"), "[^ACMGRSVTWYHKDB]", "N")
-    given = lambda c: F.when((F.col(c) == "*") | (F.col(c) == ""), F.array().cast("array<string>"))
     # Explode keeps the parts columns of their own, made once a read.
-    whole = F.coalesce(F.col("cigar").rlike("^([0-9]+H)?([0-9]+S)?([1-9][0-9]*[M=X])+([0-9]+S)?([0-9]+H)?$"), F.lit(False))
-    letters_of = given("seq").otherwise(F.split(letters, "")).alias("b"), given("qual").otherwise(F.split("qual", "")).alias("q")
-    parts = F.struct(*letters_of, _walked(cigar.parse(F.col("cigar"))).alias("ops"))
+    parts = F.struct(*_letters(), _walked(cigar.parse(F.col("cigar"))).alias("ops"))
     told = ["gapped", "inserts"]
-    read = aln.where(~whole).select(
+    read = aln.select(
         "ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.col("cigar").contains("D").alias("gapped"), F.col("cigar").rlike("[IP]").alias("inserts"), F.explode(F.array(parts)).alias("p")
     )
     b, q, ops, n_ops = F.col("p.b"), F.col("p.q"), F.col("p.ops"), F.size("p.ops")
@@ -341,18 +382,4 @@ def read_bases(aln: DataFrame) -> DataFrame:
 
     every = read.select("ref_id", "at", "file_ord", "flag", "mapq", *told, F.explode(F.flatten(F.transform(ops, columns))).alias("c"))
     rest = [F.col(f"c.{k}") for k in ("nth", "sign", "shown", "qual", "next_qual", "before_qual", "steps", "chain", "skip", "tail", "ended")]
-    walked = every.select("ref_id", (F.col("at") + F.col("c.off")).alias("pos"), "file_ord", "flag", "mapq", *told, *rest)
-    # Reads that match all along need no walk: their columns are plain expressions of a row a base.
-    matched = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+)[M=X]"), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))
-    clipped = F.coalesce(F.regexp_extract("cigar", "^(?:[0-9]+H)?([0-9]+)S", 1).try_cast("int"), F.lit(0))
-    along = F.struct(*letters_of, matched.alias("n"), clipped.alias("from"))
-    plain = aln.where(whole).select("ref_id", F.col("pos").alias("at"), "file_ord", "flag", "mapq", F.explode(F.array(along)).alias("p"))
-    k, j, ended = F.col("k"), F.col("p.from") + F.col("k"), F.col("k") == F.col("p.n") - 1
-    sign = F.coalesce(F.get(b, j), F.lit("N"))
-    made = {
-        "gapped": F.lit(False), "inserts": F.lit(False), "nth": F.lit(0), "sign": sign,
-        "shown": F.concat(F.when(k == 0, mark).otherwise(""), cased(sign), F.when(ended, "$").otherwise("")),
-        "qual": score(j).cast("int"), "next_qual": following(j + 1), "before_qual": F.lit(255), "steps": F.lit(0), "chain": j + 1, "skip": F.lit(0), "tail": F.lit(True), "ended": ended,
-    }
-    each = plain.select("*", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("k"))
-    return each.select("ref_id", (F.col("at") + k).alias("pos"), "file_ord", "flag", "mapq", *[v.alias(c) for c, v in made.items()]).unionByName(walked)
+    return every.select("ref_id", (F.col("at") + F.col("c.off")).alias("pos"), "file_ord", "flag", "mapq", *told, *rest)

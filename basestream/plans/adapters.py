@@ -38,8 +38,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_rows(records(spark, sf_dir), [F.col(k) for k in KEY])
+def alignments(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return number_rows(records(spark, sf_dir), [F.col(k) for k in KEY], keep=list(keep) or None)
 
 
 def with_reads(aln: DataFrame) -> DataFrame:

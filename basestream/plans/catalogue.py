@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basestream.functions import cigar, sequence, tags, trace
 from basestream.operators import alignments as al
-from basestream.operators import lookups, signal, statistics
+from basestream.operators import lookups, piles, signal, statistics
 from basestream.operators.ordering import number_rows
 from basestream.plans.adapters import ALN, FLOWS, PROGRAMS, SEQS, alignments, flows, header, programs, records, sequences, table, with_reads
 
@@ -260,13 +260,16 @@ PILE = ALN + """, b as (select ref_id, pos + k as pos, file_ord, flag, mapq,
  from (select *, unnest(generate_series(0, span - 1)) as k from aln where flag & 4 = 0 and ref_id >= 0))"""
 
 
-def _piled(spark, d):
-    return al.read_bases(with_reads(alignments(spark, d).where(~al.has(4) & (F.col("ref_id") >= 0))))
+READ = ["ref_id", "pos", "span", "mapq", "flag"]
+
+
+def _reads(spark, d):
+    return with_reads(alignments(spark, d, *READ).where(~al.has(4) & (F.col("ref_id") >= 0)))
 
 
 @query("with" + PILE + "select cast(ref_id as bigint) as ref_id, pos, count(*) as depth, string_agg(shown, '' order by file_ord) as bases, string_agg(chr(cast(least(mapq, 93) + 33 as int)), '' order by file_ord) as quals from b group by 1, 2")
 def pileup(spark, d):
-    return long(al.pileup(_piled(spark, d)))
+    return long(piles.pileup(_reads(spark, d)))
 
 
 @query("with" + PILE + "select cast(ref_id as bigint) as ref_id, pos, count(*) as depth, string_agg(shown, '' order by file_ord) as bases from b where mapq >= 20 and flag & 1024 = 0 group by 1, 2")

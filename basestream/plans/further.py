@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from basestream.functions import records as rec
 from basestream.functions import sequence, trace
 from basestream.operators import alignments as al
-from basestream.operators import lookups, statistics, templates
+from basestream.operators import lookups, piles, statistics, templates
 from basestream.plans.adapters import ALN, SEQS, alignments, header, records, sequences, table, with_reads
-from basestream.plans.catalogue import POSITION, TRACE, _by_position, _traces, long, query
+from basestream.plans.catalogue import POSITION, READ, TRACE, _by_position, _traces, long, query
 
 # --- templates ----------------------------------------------------------------------
 
@@ -280,8 +280,8 @@ def vector_clip(spark, d):
 @query("with" + ALN + """, b as (select ref_id, pos + k as pos, file_ord, mapq, substr('ACGT', cast((k + pos) % 4 as int) + 1, 1) as base from (select *, unnest(generate_series(0, span - 1)) as k from aln where flag & 4 = 0 and ref_id >= 0 and mapq >= 40))
 select cast(ref_id as bigint) as ref_id, pos, 0 as nth, count(*) as depth, string_agg(base, '' order by file_ord) as bases, string_agg(chr(cast(least(mapq, 93) + 33 as int)), '' order by file_ord) as quals from b group by 1, 2""")
 def pileup_gap5(spark, d):
-    kept = alignments(spark, d).where(~al.has(4) & (F.col("ref_id") >= 0) & (F.col("mapq") >= 40))
-    return long(al.pileup_columns(al.read_bases(with_reads(kept))))
+    kept = alignments(spark, d, *READ).where(~al.has(4) & (F.col("ref_id") >= 0) & (F.col("mapq") >= 40))
+    return long(piles.pileup_columns(with_reads(kept)))
 
 
 INDEL = """i as (select ref_id, file_ord, pos as p, l_linenumber as n from aln where flag & 4 = 0 and flag & 16 = 0 and mapq >= 45),
@@ -291,9 +291,9 @@ e as (select ref_id, file_ord, unnest([{'p': p, 'b': '^NA', 'd': 1}, {'p': p + 1
 @query("with" + ALN + "," + INDEL + " select cast(ref_id as bigint) as ref_id, x.p as pos, count(*) as depth, string_agg(case when x.b = '.' then '.$' else x.b end, '' order by file_ord) as bases from e group by 1, 2")
 def pileup_indel(spark, d):
     """Reads of two bases, an inserted one, a deletion, a skip and a last base."""
-    kept = alignments(spark, d).where(~al.has(4) & ~al.has(16) & (F.col("mapq") >= 45))
+    kept = alignments(spark, d, *READ).where(~al.has(4) & ~al.has(16) & (F.col("mapq") >= 45))
     reads = kept.withColumns({"cigar": F.lit("2M1I1D1N1M"), "seq": F.lit("ACTG"), "qual": F.lit("IIII"), "mapq": F.lit(45)})
-    return long(al.pileup(al.read_bases(reads)).drop("quals"))
+    return long(piles.pileup(reads).drop("quals"))
 
 
 @query("with " + SEQS + "select doc_id, rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) as seq from seqs")
