@@ -159,6 +159,19 @@ def mate_distance(aln: DataFrame) -> DataFrame:
     return aln.withColumn("next_mate", F.lead("file_ord").over(w) - F.col("file_ord") - 1)
 
 
+def position_delta(aln: DataFrame, block: int = 65536) -> DataFrame:
+    """``aln`` with ap: the distance from the record before on the same reference in file
+    order, or from 0. Neighbours are found inside blocks of file order, with one boundary
+    row a block and reference, so a reference isn't one task."""
+    b = aln.withColumns({"blk": F.floor((F.col("file_ord") - 1) / block), "ref": F.coalesce("ref_id", F.lit(-(2**31)))}).repartition(parts_for(aln), "ref", "blk")
+    # In a struct, as a neighbour without a position is a neighbour.
+    ends = b.groupBy("ref", "blk").agg(F.max_by(F.struct("pos"), "file_ord").alias("own"))
+    tails = ends.select("ref", "blk", F.lag("own").over(Window.partitionBy("ref").orderBy("blk")).alias("tail"))
+    w = Window.partitionBy("ref", "blk").orderBy("file_ord")
+    told = b.withColumn("before", F.lag(F.struct("pos")).over(w)).join(tails, ["ref", "blk"], "left")
+    return told.withColumn("ap", F.col("pos") - F.coalesce("before.pos", F.when(F.col("before").isNull(), F.col("tail.pos")), F.lit(0))).drop("ref", "blk", "tail", "before")
+
+
 def name_complete(aln: DataFrame, expected: Column) -> DataFrame:
     """Templates all of whose records are in the slice, so their names may be dropped:
     records agree on the expected number and that many are present."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basestream.functions import cigar, sequence, tags, trace
@@ -232,8 +232,7 @@ def name_complete(spark, d):
 
 @query("with" + ALN + """, p as (select file_ord, lag(pos) over (partition by ref_id order by file_ord) as prev, pos from aln) select file_ord, pos - coalesce(prev, 0) as ap from p""")
 def position_delta(spark, d):
-    w = Window.partitionBy("ref_id").orderBy("file_ord")
-    return alignments(spark, d).select("file_ord", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0))).alias("ap"))
+    return al.position_delta(alignments(spark, d, "ref_id", "pos")).select("file_ord", "ap")
 
 
 # --- bases --------------------------------------------------------------------------

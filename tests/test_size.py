@@ -73,6 +73,15 @@ def test_pileup_shuffles_reads(spark):
         assert written(spark) - before < 2.5 * records and n > records
 
 
+def test_position_delta_spreads_a_reference(spark, many_parts):
+    df = spark.range(1, 3001).select(F.col("id").alias("file_ord"), F.when(F.col("id") % 100 < 97, 0).when(F.col("id") % 100 == 99, F.lit(None)).otherwise(F.col("id") % 7).cast("int").alias("ref_id"), F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1000).alias("pos"))
+    w = Window.partitionBy("ref_id").orderBy("file_ord")
+    want = df.withColumn("ap", F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0)))
+    got = al.position_delta(df, 100)
+    same(got, want)
+    assert got.where("ref_id = 0").select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_parts_follow_the_sources(spark, tmp_path):
     spark.range(300_000).selectExpr("id", "sha2(cast(id as string), 256) as t").coalesce(1).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
