@@ -191,18 +191,26 @@ def add_slices(aln: DataFrame, records: int = 1000) -> DataFrame:
 
 def ref_runs(aln: DataFrame, block: int = 65536) -> DataFrame:
     """``aln`` with run_start: the file order at which its run of equal ref_id began."""
-    b = aln.withColumn("blk", F.floor((F.col("file_ord") - 1) / block))
+    b = aln.withColumn("blk", F.floor((F.col("file_ord") - 1) / block)).repartition(parts_for(aln), "blk")
     # The block before may be any number below: file order can have gaps.
     ends = b.groupBy("blk").agg(F.max_by("ref_id", "file_ord").alias("own"))
     tails = ends.select("blk", F.lag("own").over(Window.orderBy("blk")).alias("tail"))
     w = Window.partitionBy("blk").orderBy("file_ord")
-    starts = b.join(tails, "blk", "left").withColumn("prev", F.coalesce(F.lag("ref_id").over(w), F.when(F.row_number().over(w) == 1, F.col("tail"))))
+    starts = b.join(F.broadcast(tails), "blk", "left").withColumn("prev", F.coalesce(F.lag("ref_id").over(w), F.when(F.row_number().over(w) == 1, F.col("tail"))))
     marked = starts.withColumn("s", F.when(F.col("prev").isNull() | (F.col("prev") != F.col("ref_id")), F.col("file_ord")))
     known = marked.withColumn("run", F.max("s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # A run that began in an earlier block: the latest start before, one row a block.
     last = known.groupBy("blk").agg(F.max("s").alias("last"))
     carried = last.withColumn("carry", F.max("last").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))).select("blk", "carry")
-    return known.join(carried, "blk", "left").withColumn("run_start", F.coalesce("run", "carry")).drop("blk", "tail", "prev", "s", "run", "carry")
+    return known.join(F.broadcast(carried), "blk", "left").withColumn("run_start", F.coalesce("run", "carry")).drop("blk", "tail", "prev", "s", "run", "carry")
+
+
+def run_extent(runs: DataFrame) -> DataFrame:
+    """Reference, records and extent of each run of ``ref_runs``. There may be nearly as many
+    runs as records, so they are dealt to as many tasks as the input needs."""
+    return runs.repartition(parts_for(runs), "run_start").groupBy("run_start").agg(
+        F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max(F.col("pos") + F.col("span") - 1).alias("last_pos")
+    )
 
 
 def slice_extent(sliced: DataFrame) -> DataFrame:

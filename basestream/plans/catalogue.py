@@ -175,8 +175,7 @@ sl as (select *, run_start || ':' || ((file_ord - run_start) // 100) as slice_id
 
 @query("with" + RUNS + "select run_start, cast(min(ref_id) as bigint) as ref_id, count(*) as n, min(pos) as first_pos, max(pos + span - 1) as last_pos from runs group by 1")
 def multiref_runs(spark, d):
-    r = al.ref_runs(alignments(spark, d))
-    return long(r.groupBy("run_start").agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max(F.col("pos") + F.col("span") - 1).alias("last_pos")))
+    return long(al.run_extent(al.ref_runs(alignments(spark, d, "ref_id", "pos", "span"))))
 
 
 def _by_position(spark, d):

@@ -82,6 +82,16 @@ def test_position_delta_spreads_a_reference(spark, many_parts):
     assert got.where("ref_id = 0").select(F.spark_partition_id()).distinct().count() > 4
 
 
+def test_runs_are_dealt_by_size(spark, many_parts):
+    df = spark.range(1, 3001).select(F.col("id").alias("file_ord"), (F.col("id") * 7919 % 5 % 2).cast("int").alias("ref_id"), F.col("id").alias("pos"), F.lit(3).alias("span"))
+    runs = al.ref_runs(df, 100)
+    got = al.run_extent(runs)
+    assert runs.select(F.spark_partition_id()).distinct().count() > 4 and got.select(F.spark_partition_id()).distinct().count() > 4
+    w = Window.orderBy("file_ord")
+    starts = df.withColumn("s", F.when(F.lag("ref_id").over(w).eqNullSafe(F.col("ref_id")), None).otherwise(F.col("file_ord"))).withColumn("run_start", F.max("s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same(got, starts.groupBy("run_start").agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), (F.max("pos") + 2).alias("last_pos")))
+
+
 def test_parts_follow_the_sources(spark, tmp_path):
     spark.range(300_000).selectExpr("id", "sha2(cast(id as string), 256) as t").coalesce(1).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
