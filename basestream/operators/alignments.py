@@ -118,10 +118,18 @@ def depth_sweep(aln: DataFrame, band: int = 1 << 16) -> DataFrame:
     return runs.select("ref_id", F.explode(F.sequence(F.col("pos"), F.col("until") - 1)).alias("pos"), "depth")
 
 
-def depth_explode(aln: DataFrame) -> DataFrame:
-    """The same by one row a base; partial sums run before the shuffle."""
+def depth_explode(aln: DataFrame, band: int = 1 << 10) -> DataFrame:
+    """The same by one row a base. Records meet in bands of positions, dealt to as many
+    tasks as the input needs: a task counts the positions of its bands, however the input
+    is ordered. Four tasks at most share a band's records, and their sums meet again."""
+    n = parts_for(aln)
     used = aln.where(~has(UNMAPPED) & (F.col("ref_id") >= 0))
-    return used.select("ref_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("span") - 1)).alias("pos")).groupBy("ref_id", "pos").agg(F.count(F.lit(1)).alias("depth"))
+    last = F.col("pos") + F.col("span") - 1
+    cut = used.select("ref_id", "pos", last.alias("last"), F.explode(F.sequence(F.floor(F.col("pos") / band), F.floor(last / band))).alias("band"), (F.spark_partition_id() % 4).alias("part"))
+    low, high = F.greatest(F.col("pos"), F.col("band") * band), F.least(F.col("last"), F.col("band") * band + band - 1)
+    each = cut.repartition(n, "ref_id", "band", "part").select("ref_id", "band", "part", F.explode(F.sequence(low, high)).alias("pos"))
+    parts = each.groupBy("ref_id", "band", "part", "pos").agg(F.count(F.lit(1)).alias("n"))
+    return parts.repartition(n, "ref_id", "band").groupBy("ref_id", "band", "pos").agg(F.sum("n").alias("depth")).drop("band")
 
 
 def consensus(bases: DataFrame) -> DataFrame:

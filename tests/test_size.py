@@ -92,6 +92,15 @@ def test_runs_are_dealt_by_size(spark, many_parts):
     same(got, starts.groupBy("run_start").agg(F.min("ref_id").alias("ref_id"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), (F.max("pos") + 2).alias("last_pos")))
 
 
+def test_depth_counts_in_bands(spark, many_parts):
+    df = spark.range(3000).select(F.lit(0).cast("int").alias("ref_id"), (F.col("id") * 7919 % 9000).alias("pos"), (F.col("id") % 1500 + 1).cast("int").alias("span"), F.lit(0).alias("flag"))
+    got = al.depth_explode(df)
+    same(got, al.depth_sweep(df))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # No count of positions runs where the input's order alone says which a task meets.
+    assert plan.rindex("Generate explode(sequence(greatest") < plan.rindex("REPARTITION_BY_NUM")
+
+
 def test_parts_follow_the_sources(spark, tmp_path):
     spark.range(300_000).selectExpr("id", "sha2(cast(id as string), 256) as t").coalesce(1).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
