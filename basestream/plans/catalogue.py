@@ -272,8 +272,7 @@ def pileup(spark, d):
 
 @query("with" + PILE + "select cast(ref_id as bigint) as ref_id, pos, count(*) as depth, string_agg(shown, '' order by file_ord) as bases from b where mapq >= 20 and flag & 1024 = 0 group by 1, 2")
 def pileup_predicate(spark, d):
-    kept = alignments(spark, d).where(~al.has(4) & (F.col("ref_id") >= 0) & (F.col("mapq") >= 20))
-    return long(al.pileup(al.read_bases(with_reads(kept)), ~al.has(1024)).drop("quals"))
+    return long(piles.pileup(_reads(spark, d).where("mapq >= 20"), ~al.has(1024)).drop("quals"))
 
 
 @query("with " + SEQS + """select doc_id, length(seq) - length(replace(seq,'A','')) as "A", length(seq) - length(replace(seq,'C','')) as "C", length(seq) - length(replace(seq,'G','')) as "G",
